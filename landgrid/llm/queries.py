@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landgrid.llm import chat_events, digest_index, warc_store
+from landgrid.llm import bin_completion, chat_events, digest_index, golay_simhash, lattice_neardup, resync_tokens, warc_store
 from landgrid.llm._util import table
 
 
@@ -14,9 +14,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_lattice_neardup": lattice_neardup.op1,
+        "op2_golay_simhash": golay_simhash.op2,
         "op3_warc_content_store": warc_store.op3,
         "op4_chat_event_fold": chat_events.op4,
         "op5_digest_index": op5,
+        "op6_resync_tokens": resync_tokens.op6,
+        "op10_bin_completion": bin_completion.op10,
     }
 
 
