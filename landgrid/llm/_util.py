@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Fixed character class of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\f\r"
@@ -38,12 +39,12 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow where ``make()`` runs once a task and gives a function from a batch to a dict of columns (or several)."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         f = make()
@@ -52,7 +53,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
                 continue
             out = f(batch)
             for cols in [out] if isinstance(out, dict) else out:
-                arrays = [pa.array(cols[x.name], type=x.type) if not isinstance(cols[x.name], pa.Array) else cols[x.name] for x in arrow]
+                arrays = [pa.array(v, type=x.type) if not isinstance(v := cols[x.name], pa.Array) else v if v.type == x.type else v.cast(x.type) for x in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landgrid.llm import bin_completion, chat_events, digest_index, golay_simhash, lattice_neardup, resync_tokens, warc_store
+from landgrid.llm import bin_completion, chat_events, cross_parsing, digest_index, golay_simhash, lattice_neardup, lattice_sampling, resync_tokens, toxicity_gbt, warc_store
 from landgrid.llm._util import table
 
 
@@ -20,6 +20,9 @@ def queries() -> dict:
         "op4_chat_event_fold": chat_events.op4,
         "op5_digest_index": op5,
         "op6_resync_tokens": resync_tokens.op6,
+        "op7_gumbel_segmentations": lattice_sampling.op7,
+        "op8_cross_parsing_language": cross_parsing.op8,
+        "op9_toxicity_gbt": toxicity_gbt.op9,
         "op10_bin_completion": bin_completion.op10,
     }
 
