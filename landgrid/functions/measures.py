@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
 
 
 def _sides(ring: Column, f) -> Column:
@@ -16,7 +15,7 @@ def _sides(ring: Column, f) -> Column:
 
 
 def total(values: Column) -> Column:
-    return F.aggregate(values, ZERO, lambda a, x: a + x)
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
 def closed(ring: Column) -> Column:
