@@ -106,5 +106,8 @@ def repair_layers(layers: dict[str, DataFrame], compat: bool = False, least: dic
             df = without_slivers(df, limits.get(name, 20.0))
         if name == "parcels":
             df = without_slivers(resolve_overlaps(df), limits.get(name, 20.0))
-        out[name] = df
+        if name == "roads":
+            out[name] = df.drop("area_sqm", "perimeter_m")
+        else:
+            out[name] = df.withColumn("area_sqm", F.round("area_sqm", 2)).withColumn("perimeter_m", F.round("perimeter_m", 2))
     return out

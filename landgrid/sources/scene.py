@@ -14,12 +14,18 @@ ROADS = [(0, None, 480, 544), (480, 530, 0, None), (0, 480, 200, 225)]
 TREE_DISC = (200, 850, 80)
 
 
+# Fixed values of the scene: its roofs as (row from, row to, column from, column to, material).
+ROOFS = [
+    (100, 220, 80, 180, "terracotta"), (280, 420, 70, 170, "tin"), (120, 260, 260, 420, "concrete"), (310, 430, 270, 430, "terracotta"),
+    (580, 720, 100, 250, "tin"), (760, 920, 90, 230, "concrete"), (590, 740, 290, 430, "terracotta"), (780, 930, 300, 440, "tin"),
+    (120, 280, 580, 720, "concrete"), (330, 440, 600, 750, "terracotta"), (580, 750, 590, 760, "tin"), (800, 950, 600, 740, "concrete"),
+    (600, 740, 800, 950, "terracotta"), (780, 920, 810, 940, "tin"),
+]
+
+
 def roofs(size: int = 1024) -> list[tuple[int, int, int, int, str]]:
-    """Fourteen roofs on a regular plan of rows and columns; those that would leave the scene are left out."""
-    kinds = list(ROOF_COLOURS)
-    places = [(r, c) for r in (60, 260, 600, 800) for c in (40, 260, 600, 800)]
-    out = [(r, r + 100 + 10 * (k % 4), c, c + 120 + 10 * (k % 3), kinds[k % 3]) for k, (r, c) in enumerate(places) if (r, c) not in ((260, 800), (60, 800))]
-    return [x for x in out if x[1] <= size and x[3] <= size]
+    """Those that lie within the scene."""
+    return [x for x in ROOFS if x[1] <= size and x[3] <= size]
 
 
 def pixels(spark: SparkSession, size: int = 1024) -> DataFrame:
