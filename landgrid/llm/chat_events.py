@@ -57,7 +57,7 @@ def fold(events: DataFrame) -> DataFrame:
     later = Window.partitionBy("conv_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     reset = F.when(F.col("kind").isin("edit", "regenerate"), F.col("msg"))
     cut = F.min(reset).over(later)  # the earliest message that is reset later
-    live = events.withColumn("cut", cut).where("cut IS NULL OR msg < cut")
+    live = events.withColumn("cut", cut).where("cut IS NULL OR msg < cut OR msg = cut AND kind = 'start'")  # a reset keeps its turn's role
     piece = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["text"]), "")
     return live.groupBy("conv_id", "msg").agg(F.min_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).alias("role"), whole.alias("text"))
