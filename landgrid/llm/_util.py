@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +40,18 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """A model kept by a worker process between tasks; loading another one drops it, so a worker holds one at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str | StructType) -> DataFrame:
     """mapInArrow where ``make()`` runs once a task and gives a function from a batch to a dict of columns (or several)."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,6 +60,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back at once
         f = make()
         for batch in batches:
             if not batch.num_rows:

@@ -14,8 +14,10 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+from landgrid.llm._util import held
+
 TOKENIZER_DIR = "/opt/tokenizers"
-KEPT_WORDS, KEPT_LENGTH = 250_000, 48  # of the word cache of one worker; what does not fit is encoded each time
+KEPT_WORDS, KEPT_LENGTH = 150_000, 48  # of the word cache of one worker; what does not fit is encoded each time
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -154,11 +156,6 @@ class WordBpe:
         return b"".join(out)
 
 
-_LOADED: dict = {}
-
-
 def loaded(kind: type, folder: str | None = None):
     """One instance a worker process."""
-    if (kind, folder) not in _LOADED:
-        _LOADED[kind, folder] = kind(folder)
-    return _LOADED[kind, folder]
+    return held((kind, folder), lambda: kind(folder))

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from landgrid.llm._util import arrow_map, table
+from landgrid.llm._util import arrow_map, held, table
 
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 60_000
-KEPT_WORDS, KEPT_LENGTH, SLICE = 200_000, 40, 1 << 18
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 40_000
+KEPT_WORDS, KEPT_LENGTH, SLICE = 120_000, 40, 1 << 18
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -162,23 +162,13 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     return {lang: " " + " ".join(sorted(ws)) + " " for lang, ws in found.items()}
 
 
-_MODEL: dict[str, Model] = {}
-
-
-def _loaded(shared, key: str) -> Model:
-    if key not in _MODEL:
-        _MODEL.clear()
-        _MODEL[key] = Model(shared.value)
-    return _MODEL[key]
-
-
 def tagged(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
     """The rows with all their columns, and ``__lang_pred`` and ``__lang_score``; predictions read the text only."""
     shared, key = docs.sparkSession.sparkContext.broadcast(fit(docs) if texts is None else texts), uuid.uuid4().hex
     names = docs.columns
 
     def make():
-        model = _loaded(shared, key)
+        model = held(key, lambda: Model(shared.value))
 
         def batch(rows: pa.RecordBatch) -> dict:
             found = [model.predict(x.as_py()) for x in rows.column("text")]

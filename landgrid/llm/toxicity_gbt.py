@@ -28,7 +28,7 @@ from landgrid.llm._util import arrow_map, table
 
 SAMPLE_ROWS, LEXICON, THRESHOLD = 20_000, 6_000, 0.7
 MIN_WEIGHT, START = 1.5, 4
-KEPT_WORDS, SLICE = 200_000, 1 << 18
+KEPT_WORDS, SLICE = 120_000, 1 << 18
 # Common English insults and second-person words of four languages.
 INSULTS = frozenset("idiot idiots moron morons stupid scum loser losers trash worthless pathetic disgusting clown clowns dumb jerk garbage vermin filth filthy hate kill bastard fool fools imbecile freak ugly".split())
 SECOND_PERSON = frozenset("you your yours yourself yourselves u ur tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie ihnen usted ustedes ti tú tus vosotros vuestro os".split())
