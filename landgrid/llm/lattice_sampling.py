@@ -33,7 +33,7 @@ from landgrid.llm.bpe_words import loaded, tokenizer_path
 SLICE = 128  # rows whose words are looked at together
 SAMPLES, ALPHA, MODEL = 2, 1.0, "piece_bpe_32k.model"
 MARK = "▁"
-KEPT_NODES = 500_000  # of the word lattices that one worker keeps
+HOT_NODES, KEPT_NODES = 400_000, 700_000  # of word lattices that one worker keeps for good, and at all
 
 
 class Lattices:
@@ -80,9 +80,11 @@ class Lattices:
         self.kept: dict[str, int] = {}  # first node of a word
         self.nodes = 0
         self.extra: dict[int, tuple[int, ...]] = {}  # of an edge that writes a character in several bytes: the ids after the first
-        # by edge: key (node + cumulated probability), next node or -1, log of conditional probability, id; by node: its last edge
-        self._parts: list[tuple] = [(np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))]
+        # by edge: key (node + cumulated probability), next node or -1, log of conditional probability, id; by node: its last and first edge
+        self._parts: list[tuple] = [(np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
         self.edges = 0
+        self._hot: tuple | None = None  # nodes, edges and arrays of the first words; they hold the frequent ones
+        self._passing: list[str] = []  # words since then
 
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -139,10 +141,10 @@ class Lattices:
             top = np.maximum.reduceat(s, at)
             node = start[first[a:b]]
             beta[node] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, np.diff(np.append(at, hi - lo)))), at))
-        # ``weight`` now holds edge weight + mass of what follows; back to text order
-        order = np.lexsort((size, start))
-        start, size, weight, ids, ended = start[order], size[order], weight[order], ids[order], ended[order]
+        # ``weight`` now holds edge weight + mass of what follows; by node, likeliest edge first
         logc = np.minimum(weight - beta[start], 0.0)
+        order = np.lexsort((-logc, start))
+        start, size, logc, ids, ended = start[order], size[order], logc[order], ids[order], ended[order]
         first = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
         cum = np.cumsum(np.exp(logc))
         cum -= np.repeat(np.concatenate([[0.0], cum[first[1:] - 1]]), np.diff(np.append(first, len(cum))))
@@ -155,8 +157,10 @@ class Lattices:
         for e in np.flatnonzero((ids >= self.first_byte) & (ids <= self.last_byte)):
             if len(r := raw.get(int(start[e]), b"")) > 1:
                 self.extra[self.edges + int(e)] = tuple(self.bytes[b] for b in r[1:])
-        self._parts.append((nodes + cum, np.where(ended, -1, nodes + size), logc, ids, self.edges + last))
+        self._parts.append((nodes + cum, np.where(ended, -1, nodes + size), logc, ids, self.edges + last, self.edges + first))
         self.kept.update(zip(units, (self.nodes + ends - sizes).tolist()))
+        if self._hot is not None:
+            self._passing += units
         self.nodes, self.edges = self.nodes + n, self.edges + len(ids)
 
     def prepare(self, units: list[str]) -> None:
@@ -164,8 +168,11 @@ class Lattices:
             self.add(new)
 
     def starts(self, units: list[str]) -> np.ndarray:
-        self.prepare(units)
-        return np.fromiter(map(self.kept.__getitem__, units), np.int64, len(units))
+        try:
+            return np.fromiter(map(self.kept.__getitem__, units), np.int64, len(units))
+        except KeyError:
+            self.prepare(units)
+            return self.starts(units)
 
     def arrays(self) -> tuple:
         if len(self._parts) > 1:
@@ -176,9 +183,18 @@ class Lattices:
         return bool(len(self.extra)) and bool(((ids >= self.first_byte) & (ids <= self.last_byte)).any())
 
     def trim(self) -> None:
-        """Bounded memory: between slices all is forgotten once there is much. Results do not depend on it."""
-        if self.nodes > KEPT_NODES:
+        """Bounded memory: between slices all but the first words is forgotten once there is much. Results do not depend on it."""
+        if self._hot is None and self.nodes > KEPT_NODES:  # a few very long words: nothing worth keeping
             self._clear()
+        elif self._hot is None and self.nodes > HOT_NODES:
+            self._hot = self.nodes, self.edges, self.arrays()
+        elif self._hot is not None and self.nodes > KEPT_NODES:
+            self.nodes, self.edges, arrays = self._hot
+            self._parts = [arrays]
+            for u in self._passing:
+                del self.kept[u]
+            self._passing = []
+            self.extra = {e: x for e, x in self.extra.items() if e < self.edges}
 
 
 def _uniform(key: int, draw: int, n: int | np.ndarray) -> np.ndarray:
@@ -192,13 +208,15 @@ def _uniform(key: int, draw: int, n: int | np.ndarray) -> np.ndarray:
 
 def _walk(arrays: tuple, nodes: np.ndarray, key: int, draw: int) -> np.ndarray:
     """The edges of a free sample through words entered at ``nodes`` (-1: nothing left of a word), in text order."""
-    keys, nxt, last = arrays[0], arrays[1], arrays[4]
+    keys, nxt, last, first = arrays[0], arrays[1], arrays[4], arrays[5]
     word = np.flatnonzero(nodes >= 0)
     node, step, words, edges = nodes[word], 0, [], []
     while len(word):
-        u = _uniform(key, draw * 4096 + step, word)
-        # the sum may round up to the next node's first edge
-        e = np.minimum(np.searchsorted(keys, node + u, side="right"), last[node])
+        goal = node + _uniform(key, draw * 4096 + step, word)
+        e = first[node]
+        more = np.flatnonzero(keys[e] <= goal)  # not the likeliest edge; the sum may round up to the next node's first one
+        if len(more):
+            e[more] = np.minimum(np.searchsorted(keys, goal[more], side="right"), last[node[more]])
         words.append(word)
         edges.append(e)
         node, step = nxt[e], step + 1
@@ -231,12 +249,14 @@ def _truncated(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(mass), -np.inf, np.minimum(out, top))
 
 
-def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES) -> list[dict]:
-    """Up to k distinct segmentations: ids, log_prob, value (perturbed), log_inclusion; highest value first."""
-    units = lat.units(lat.normalise(text))
-    starts = lat.starts(units)
+def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES, units: list[str] | None = None) -> list[dict]:
+    """Up to k distinct segmentations: ids, log_prob, value (perturbed), log_inclusion; highest value first.
+
+    ``units``: the text's words, where the caller has them already.
+    """
+    starts = lat.starts(lat.units(lat.normalise(text)) if units is None else units)
     arrays = lat.arrays()
-    keys, nxt, logc, ids, _ = arrays
+    keys, nxt, logc, ids, last, first = arrays
     paths = [_Path(arrays, _walk(arrays, starts, key, 1), float(-np.log(-np.log(_uniform(key, 2, 1)[0]))), key, 3)]
     draw = 8
     while True:
@@ -247,8 +267,7 @@ def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES) -> list[dict]:
         p, top = paths[best], tops[best]
         t = int(p.values.argmax())
         node = int(np.ceil(keys[p.edges[t]]) - 1)
-        a, b = np.searchsorted(keys, [node, node + 1.0], side="right")
-        a, b = int(a), int(b)
+        a, b = int(first[node]), int(last[node]) + 1
         out = p.excluded.setdefault(t, [int(p.edges[t])])
         choice = np.array([e for e in range(a, b) if e not in out])
         c = np.exp(logc[choice])
@@ -291,9 +310,11 @@ def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, folder: str | None
                 cols: dict = {c: [] for c in ("doc_id", "rank", "ids", "n_pieces", "log_prob", "log_inclusion", "ids_crc32")}
                 part = rows.slice(at, SLICE)
                 # all words first: the arrays are built once for the slice
-                lat.prepare([u for text in part.column("text") for u in lat.units(lat.normalise(text.as_py() or ""))])
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text")):
-                    for r, s in enumerate(sample(lat, text.as_py() or "", doc_id or 0, k), 1):
+                texts = part.column("text").to_pylist()
+                units = [lat.units(lat.normalise(text or "")) for text in texts]
+                lat.prepare([u for us in units for u in us])
+                for doc_id, text, us in zip(part.column("doc_id").to_pylist(), texts, units):
+                    for r, s in enumerate(sample(lat, text or "", doc_id or 0, k, us), 1):
                         row = (doc_id, r, s["ids"], len(s["ids"]), s["log_prob"], s["log_inclusion"], zlib.crc32(np.array(s["ids"], "<u4").tobytes()))
                         for c, v in zip(cols, row):
                             cols[c].append(v)
