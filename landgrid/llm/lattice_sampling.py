@@ -197,47 +197,72 @@ class Lattices:
             self.extra = {e: x for e, x in self.extra.items() if e < self.edges}
 
 
-def _uniform(key: int, draw: int, n: int | np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) that depend on the row key, the draw and their place: the first n places, or those given."""
-    place = np.arange(n) if isinstance(n, int) else n
-    x = (place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((key * 0xD1342543DE82EF95 + draw * 0xA0761D6478BD642F) & (2**64 - 1))
-    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ x >> np.uint64(shift)) * np.uint64(mul)
-    return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+_GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of splitmix64
+_STEP = np.uint64(0x5851F42D4C957F2D)  # fixed multiplier from one step of a word to the next
+_S30, _S27, _S31, _S11 = (np.uint64(x) for x in (30, 27, 31, 11))
 
 
-def _walk(arrays: tuple, nodes: np.ndarray, key: int, draw: int) -> np.ndarray:
-    """The edges of a free sample through words entered at ``nodes`` (-1: nothing left of a word), in text order."""
+def _seed(key: int, draw: int) -> np.uint64:
+    return np.uint64((key * 0xD1342543DE82EF95 + draw * 0xA0761D6478BD642F) & (2**64 - 1))
+
+
+def _uniform(seed: np.uint64, n: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on seed and place."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _GOLDEN + seed)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.copy()
+    for shift, mul in ((_S30, _M1), (_S27, _M2)):
+        x ^= x >> shift
+        x *= mul
+    x ^= x >> _S31
+    x >>= _S11
+    return x * 2.0**-53 + 2.0**-54
+
+
+def _walk(arrays: tuple, nodes: np.ndarray, seed: np.uint64 | np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(words, edges) of a free sample through words entered at ``nodes`` (-1: nothing left of a word), in text order.
+
+    Numbers hang on seed and place alone, so words of many rows can be walked together or row by row with equal results.
+    """
     keys, nxt, last, first = arrays[0], arrays[1], arrays[4], arrays[5]
     word = np.flatnonzero(nodes >= 0)
-    node, step, words, edges = nodes[word], 0, [], []
-    while len(word):
-        goal = node + _uniform(key, draw * 4096 + step, word)
-        e = first[node]
-        more = np.flatnonzero(keys[e] <= goal)  # not the likeliest edge; the sum may round up to the next node's first one
-        if len(more):
-            e[more] = np.minimum(np.searchsorted(keys, goal[more], side="right"), last[node[more]])
-        words.append(word)
-        edges.append(e)
-        node, step = nxt[e], step + 1
-        on = node >= 0
-        word, node = word[on], node[on]
+    place = np.arange(1, len(nodes) + 1, dtype=np.uint64) if place is None else place
+    node, words, edges = nodes[word], [], []
+    with np.errstate(over="ignore"):
+        base = place * _GOLDEN + seed
+        base = base[word]
+        while len(word):
+            goal = node + _mixed(base)
+            e = first[node]
+            more = np.flatnonzero(keys[e] <= goal)  # not the likeliest edge; the sum may round up to the next node's first one
+            if len(more):
+                e[more] = np.minimum(np.searchsorted(keys, goal[more], side="right"), last[node[more]])
+            words.append(word)
+            edges.append(e)
+            node = nxt[e]
+            on = node >= 0
+            word, node = word[on], node[on]
+            base = base[on] * _STEP + _GOLDEN
     if not edges:
-        return np.empty(0, np.int64)
-    return np.concatenate(edges)[np.argsort(np.concatenate(words), kind="stable")]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    words, edges = np.concatenate(words), np.concatenate(edges)
+    order = np.argsort(words, kind="stable")
+    return words[order], edges[order]
 
 
 class _Path:
     """One emitted segmentation: its edges, each edge's word, and the values of the sets that leave it at each edge."""
 
-    def __init__(self, arrays: tuple, edges: np.ndarray, value: float, key: int, draw: int, since: int = 0):
+    def __init__(self, arrays: tuple, edges: np.ndarray, value: float, seed: np.uint64, since: int = 0):
         logc = arrays[2][edges]
         self.edges, self.value = edges, value
         self.before = np.concatenate([[0.0], np.cumsum(logc)])
         self.logp = float(self.before[-1])
         with np.errstate(divide="ignore"):
             mass = self.before[:-1] + np.log(-np.expm1(logc))
-        self.values = _truncated(mass, value, _uniform(key, draw, len(edges)))
+        self.values = _truncated(mass, value, _uniform(seed, len(edges)))
         self.values[:since] = -np.inf  # those sets belong to the path that this one left
         self.excluded: dict[int, list[int]] = {}
 
@@ -249,15 +274,16 @@ def _truncated(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(mass), -np.inf, np.minimum(out, top))
 
 
-def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES, units: list[str] | None = None) -> list[dict]:
+def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES, starts: np.ndarray | None = None, walked: np.ndarray | None = None) -> list[dict]:
     """Up to k distinct segmentations: ids, log_prob, value (perturbed), log_inclusion; highest value first.
 
-    ``units``: the text's words, where the caller has them already.
+    ``starts``, ``walked``: the words' first nodes and the first sample's edges, where the caller made them for many rows.
     """
-    starts = lat.starts(lat.units(lat.normalise(text)) if units is None else units)
+    starts = lat.starts(lat.units(lat.normalise(text))) if starts is None else starts
     arrays = lat.arrays()
     keys, nxt, logc, ids, last, first = arrays
-    paths = [_Path(arrays, _walk(arrays, starts, key, 1), float(-np.log(-np.log(_uniform(key, 2, 1)[0]))), key, 3)]
+    walked = _walk(arrays, starts, _seed(key, 1))[1] if walked is None else walked
+    paths = [_Path(arrays, walked, float(-np.log(-np.log(_uniform(_seed(key, 2), 1)[0]))), _seed(key, 3))]
     draw = 8
     while True:
         tops = [(float(p.values.max()) if len(p.values) else -np.inf) for p in paths]
@@ -267,19 +293,18 @@ def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES, units: list[str
         p, top = paths[best], tops[best]
         t = int(p.values.argmax())
         node = int(np.ceil(keys[p.edges[t]]) - 1)
-        a, b = int(first[node]), int(last[node]) + 1
         out = p.excluded.setdefault(t, [int(p.edges[t])])
-        choice = np.array([e for e in range(a, b) if e not in out])
+        choice = np.array([e for e in range(int(first[node]), int(last[node]) + 1) if e not in out])
         c = np.exp(logc[choice])
-        u = _uniform(key, draw, 2)
+        u = _uniform(_seed(key, draw), 2)
         e = int(choice[min(int(np.searchsorted(np.cumsum(c), u[0] * c.sum())), len(choice) - 1)])
         out.append(e)
         left = float(c.sum() - np.exp(logc[e])) if len(choice) > 1 else 0.0
         p.values[t] = _truncated(np.array([p.before[t] + np.log(left)]), top, u[1:])[0] if left > 0 else -np.inf
         word = int((nxt[p.edges[:t]] < 0).sum())
         rest = np.concatenate([[nxt[e]], starts[word + 1 :]])
-        edges = np.concatenate([p.edges[:t], [e], _walk(arrays, rest, key, draw + 1)]).astype(np.int64)
-        paths.append(_Path(arrays, edges, top, key, draw + 2, t + 1))
+        edges = np.concatenate([p.edges[:t], [e], _walk(arrays, rest, _seed(key, draw + 1))[1]]).astype(np.int64)
+        paths.append(_Path(arrays, edges, top, _seed(key, draw + 2), t + 1))
         draw += 4
     threshold = tops[best]
     found = []
@@ -295,6 +320,20 @@ def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES, units: list[str
     return found
 
 
+def samples_of(lat: Lattices, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[dict]]:
+    """``sample`` of many rows; their first samples are walked together."""
+    units = [lat.units(lat.normalise(t)) for t in texts]
+    lat.prepare([u for us in units for u in us])
+    starts = [lat.starts(us) for us in units]
+    sizes = np.array([len(s) for s in starts])
+    arrays, ends = lat.arrays(), np.cumsum(sizes)
+    place = (np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes) + 1).astype(np.uint64)
+    seeds = np.repeat(np.array([_seed(key, 1) for key in keys], np.uint64), sizes)
+    words, edges = _walk(arrays, np.concatenate(starts), seeds, place)
+    at = np.searchsorted(words, np.concatenate([[0], ends]))
+    return [sample(lat, t, key, k, s, edges[a:b]) for t, key, s, a, b in zip(texts, keys, starts, at[:-1], at[1:])]
+
+
 def decode(lat: Lattices, ids: list[int]) -> str:
     return lat.sp.decode(ids)
 
@@ -310,11 +349,9 @@ def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, folder: str | None
                 cols: dict = {c: [] for c in ("doc_id", "rank", "ids", "n_pieces", "log_prob", "log_inclusion", "ids_crc32")}
                 part = rows.slice(at, SLICE)
                 # all words first: the arrays are built once for the slice
-                texts = part.column("text").to_pylist()
-                units = [lat.units(lat.normalise(text or "")) for text in texts]
-                lat.prepare([u for us in units for u in us])
-                for doc_id, text, us in zip(part.column("doc_id").to_pylist(), texts, units):
-                    for r, s in enumerate(sample(lat, text or "", doc_id or 0, k, us), 1):
+                texts, keys = [t or "" for t in part.column("text").to_pylist()], [d or 0 for d in part.column("doc_id").to_pylist()]
+                for doc_id, found in zip(part.column("doc_id").to_pylist(), samples_of(lat, texts, keys, k)):
+                    for r, s in enumerate(found, 1):
                         row = (doc_id, r, s["ids"], len(s["ids"]), s["log_prob"], s["log_inclusion"], zlib.crc32(np.array(s["ids"], "<u4").tobytes()))
                         for c, v in zip(cols, row):
                             cols[c].append(v)
