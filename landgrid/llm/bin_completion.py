@@ -2,9 +2,8 @@
 
 Documents are tokenised (an end id after each), cut into pieces of at most ``capacity`` tokens and packed into as few
 sequences as possible. Only the count of pieces of each length, at most ``capacity`` numbers whatever the corpus, comes
-to the driver. There a branch-and-bound search completes a bin around the largest length that is left: it enumerates
-undominated fillings (larger pieces before smaller ones), starts from the best-fit filling as incumbent and prunes by its
-waste; the filling is then used for as many bins as the counts allow. Pieces find their bins by their rank among the
+to the driver. There a bin is completed around the largest length that is left by the filling of least waste, exactly;
+the filling is then used for as many bins as the counts allow. Pieces find their bins by their rank among the
 pieces of their length, counted in salted groups so that one length may hold any share of the rows.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; ties go by doc_id and piece;
@@ -24,7 +23,6 @@ from landgrid.llm._util import arrow_map, materialise, table
 from landgrid.llm.bpe_words import WordBpe, loaded
 
 CAPACITY, END_ID, SALTS = 2048, 0, 64
-NODES = 20_000  # of one search; beyond it the best filling so far is used, the incumbent at worst
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
@@ -49,43 +47,36 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = No
     return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def complete(count: np.ndarray, room: int, nodes: int = NODES) -> list[int]:
-    """The lengths, descending, that fill ``room`` with least waste; count[l]: pieces of length l that may be used."""
-    have = np.flatnonzero(count[: room + 1])
-    if not len(have):
-        return []
-    upto = np.zeros(room + 1, int)  # largest available length up to each room
-    upto[have] = have
-    upto = np.maximum.accumulate(upto)
-    smallest, left = int(have[0]), count[: room + 1].copy()
-    best, best_waste, budget = [], room + 1, nodes
-
-    def search(filled: list[int], r: int, most: int) -> bool:
-        """True when done: an exact filling or no budget."""
-        nonlocal best, best_waste, budget
-        budget -= 1
-        if r < best_waste:
-            best, best_waste = filled[:], r
-        if best_waste == 0 or budget <= 0:
-            return True
-        at = int(upto[min(r, most)])
-        while at >= smallest:
-            if left[at]:
-                rest = r - at
-                # what this branch can reach: a piece no larger than ``at`` in the rest, again and again
-                if rest >= smallest or rest < best_waste:
-                    left[at] -= 1
-                    filled.append(at)
-                    done = search(filled, rest, at)
-                    filled.pop()
-                    left[at] += 1
-                    if done:
-                        return True
-            at = int(upto[at - 1])
-        return False
-
-    search([], room, room)
-    return best
+def _reach(count: np.ndarray, room: int) -> tuple[list[int], list[int], list[int]]:
+    """Lengths that fit, descending; how many of each can; and by place, the sums that lengths from there on reach, as bits."""
+    lengths = (np.flatnonzero(count[1 : room + 1]) + 1)[::-1].tolist()
+    copies = [min(int(count[n]), room // n) for n in lengths]
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for n, k in zip(reversed(lengths), reversed(copies)):
+        bits, step = reach[-1], 1
+        while k:  # 1, 2, 4, ... copies at once
+            step = min(step, k)
+            bits |= bits << (n * step) & mask
+            k, step = k - step, step * 2
+        reach.append(bits)
+    return lengths, copies, reach[::-1]
+
+
+def complete(count: np.ndarray, room: int) -> list[int]:
+    """The lengths, descending, that fill ``room`` with least waste; count[l]: pieces of length l that may be used.
+
+    Of several such fillings the one with the longest pieces, and most of them, first. A length and its number are chosen in
+    one step and the sums that the shorter ones reach are known, so no choice is taken back.
+    """
+    lengths, copies, reach = _reach(count, room)
+    goal, filling = reach[0].bit_length() - 1, []
+    for n, k, rest in zip(lengths, copies, reach[1:]):
+        k = min(k, goal // n)
+        while not rest >> (goal - k * n) & 1:
+            k -= 1
+        filling += [n] * k
+        goal -= k * n
+    return filling
 
 
 def plan(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

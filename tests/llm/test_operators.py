@@ -413,6 +413,21 @@ def test_packing_is_gapless_and_tight(spark, docs):
     assert bin_completion.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_thousands_of_empty_and_one_token_texts(spark):
+    count = np.zeros(2049, np.int64)
+    count[[1, 500]] = 3000, 20
+    assert sum(t for _, t in bin_completion.plan(count)) == -(-13000 // 2048)
+    df = spark.range(7000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '' WHEN id < 6900 THEN 'a' ELSE repeat('a b ', 250) END AS text")
+    rows = bin_completion.pack_documents(df).collect()
+    bins: dict = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for v in bins.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(v, v[1:])) and sum(v[-1]) <= 2048
+    assert len({r.doc_id for r in rows}) == 7000 and len(bins) == -(-sum(r.length for r in rows) // 2048)
+
+
 # pipeline
 
 
