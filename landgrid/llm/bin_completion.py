@@ -2,8 +2,10 @@
 
 Documents are tokenised (an end id after each), cut into pieces of at most ``capacity`` tokens and packed into as few
 sequences as possible. Only the count of pieces of each length, at most ``capacity`` numbers whatever the corpus, comes
-to the driver. There a bin is completed around the largest length that is left by the filling of least waste, exactly;
-the filling is then used for as many bins as the counts allow. Pieces find their bins by their rank among the
+to the driver. There a branch-and-bound search over whole packings starts from the best of best-fit decreasing (of the
+whole, and of equal parts of it) and least-waste completions. It completes bins around the largest length that is left, branches over undominated fillings and
+over how many bins take one, and prunes by the lower bound of what is left (Martello and Toth's L2); it ends at the lower
+bound of the whole, when all is searched, or after ``WORK``. Pieces find their bins by their rank among the
 pieces of their length, counted in salted groups so that one length may hold any share of the rows.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; ties go by doc_id and piece;
@@ -13,6 +15,8 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,8 @@ from landgrid.llm._util import arrow_map, materialise, table
 from landgrid.llm.bpe_words import WordBpe, loaded
 
 CAPACITY, END_ID, SALTS = 2048, 0, 64
+# Bounds of the search, a node counting 20 and its distinct lengths; of the fillings that one node looks at. Beyond them the best packing so far is used.
+WORK, LOOKED_AT = 100_000, 200
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, folder: str | None = None) -> DataFrame:
@@ -79,21 +85,183 @@ def complete(count: np.ndarray, room: int) -> list[int]:
     return filling
 
 
-def plan(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """[(lengths of one bin, number of such bins)] that use up ``count``."""
+def lower_bound(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Bins that any packing needs: for each K, pieces above capacity - K stand alone, those of K and more fill the gaps of the rest."""
+    n, tokens = (np.concatenate([[0], np.cumsum(x)]) for x in (count, count * np.arange(len(count))))  # of pieces below a length
+    k, half = np.arange(capacity // 2 + 1), capacity // 2 + 1
+    large, middle = n[-1] - n[half], n[capacity - k + 1] - n[half]
+    gaps = middle * capacity - (tokens[capacity - k + 1] - tokens[half])
+    small = tokens[half] - tokens[k]
+    return int((large + np.maximum(0, -((gaps - small) // capacity))).max())
+
+
+def best_fit(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing packing, bins of one filling together: a bin that got a piece is the fullest and takes on."""
+    open_bins: dict[int, list] = {}  # room left -> [(filling as linked (length, copies), number of bins)]
+    for length in (np.flatnonzero(count[1:]) + 1)[::-1].tolist():
+        n = int(count[length])
+
+        def put(filling, room, bins, length=length):
+            """Pieces of ``length`` into ``bins`` alike ones, as many as fit or are left."""
+            nonlocal n
+            each = room // length
+            full = min(bins, n // each)
+            n -= full * each
+            for copies, m in ((each, full), (n, 1 if full < bins and n else 0)):
+                if m:
+                    open_bins.setdefault(room - copies * length, []).append(((filling, length, copies), m))
+                    full, n = (full, n) if copies == each else (full + 1, 0)
+            return bins - full
+
+        for room in sorted(r for r in open_bins if r >= length):
+            alike = open_bins.pop(room)
+            while alike and n:
+                filling, bins = alike.pop()
+                if left := put(filling, room, bins):
+                    alike.append((filling, left))
+            if alike:
+                open_bins.setdefault(room, []).extend(alike)
+            if not n:
+                break
+        if n:
+            put(None, capacity, n)
+    steps = []
+    for alike in open_bins.values():
+        for linked, bins in alike:
+            filling: list[int] = []
+            while linked:
+                linked, length, copies = linked
+                filling[:0] = [length] * copies
+            steps.append((filling, bins))
+    return steps
+
+
+def dive(count: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Least-waste completions for good, largest piece first."""
     count, steps = count.copy(), []
     while count.any():
         top = int(np.flatnonzero(count)[-1])
         count[top] -= 1
         filling = [top, *complete(count, capacity - top)]
         count[top] += 1
-        lengths, mult = np.unique(filling, return_counts=True)
-        times = int((count[lengths] // mult).min())
-        count[lengths] -= mult * times
-        steps.append((filling, times))
+        steps.append((filling, _use(count, filling)))
     return steps
 
 
+def by_parts(count: np.ndarray, capacity: int = CAPACITY) -> Iterator[list[tuple[list[int], int]]]:
+    """Packings of many alike parts: a part's best-fit packing as often as there are parts, and what is left best-fit."""
+    for n in sorted({int(np.gcd.reduce(count)), *(1 << k for k in range(1, int(count.max()).bit_length()))} - {1}):
+        yield [(f, t * n) for f, t in best_fit(count // n, capacity)] + best_fit(count % n, capacity)
+
+
+def _use(count: np.ndarray, filling: list[int], times: int | None = None) -> int:
+    """Takes the pieces of ``times`` bins, of as many as there can be if not given, from ``count``."""
+    lengths, mult = np.unique(filling, return_counts=True)
+    times = int((count[lengths] // mult).min()) if times is None else times
+    count[lengths] -= mult * times
+    return times
+
+
+def fillings(count: np.ndarray, room: int, slack: int) -> Iterator[list[int]]:
+    """All fillings of ``room`` that waste ``slack`` at most, longer pieces first."""
+    lengths, copies, reach = _reach(count, room)
+    slack = min(slack, room)
+    window = (1 << (slack + 1)) - 1
+    fits = lambda at, r: (reach[at] >> (r - slack) if r >= slack else reach[at] << (slack - r)) & window
+    if not fits(0, room):
+        return
+    chosen, r = [], room  # by place: copies
+    while True:
+        while len(chosen) < len(lengths):  # down
+            k = min(copies[len(chosen)], r // lengths[len(chosen)])
+            while not fits(len(chosen) + 1, r - k * lengths[len(chosen)]):
+                k -= 1
+            chosen.append(k)
+            r -= k * lengths[len(chosen) - 1]
+        yield [n for n, k in zip(lengths, chosen) for _ in range(k)]
+        while chosen:  # back to the last place where fewer copies can do
+            k, n = chosen.pop(), lengths[len(chosen)]
+            r += k * n
+            k -= 1
+            while k >= 0 and not fits(len(chosen) + 1, r - k * n):
+                k -= 1
+            if k >= 0:
+                chosen.append(k)
+                r -= k * n
+                break
+        else:
+            return
+
+
+def dominated(count: np.ndarray, room: int, filling: list[int]) -> bool:
+    """Whether a piece that is left over could stand for a subset (or nothing) that it is at least as long as.
+
+    Those pieces would fit where it stood, so a packing with this filling is no better than one with the other.
+    """
+    left = count[: room + 1].copy()
+    lengths, mult = np.unique(np.array(filling, np.int64), return_counts=True)
+    left[lengths] -= mult
+    spare, have = room - sum(filling), np.flatnonzero(left[1:]) + 1
+    one, more = 0, 0  # sums of one piece; of two or more
+    for n, k in zip(lengths.tolist(), mult.tolist()):
+        for _ in range(k):
+            more |= (one | more) << n
+            one |= 1 << n
+    sums = [0, *(n for n in lengths.tolist())]
+    at_least = np.searchsorted(have, np.array(sums) + 1)
+    if any(i < len(have) and have[i] <= s + spare for i, s in zip(at_least.tolist(), sums)):
+        return True
+    return any(more >> max(0, y - spare) & ((1 << (min(y, spare) + 1)) - 1) for y in have.tolist())
+
+
+def _children(count: np.ndarray, capacity: int, slack: int) -> Iterator[tuple[list[int], int, np.ndarray]]:
+    """(filling, bins, counts left) of undominated fillings around the largest piece, least waste first; all bins alike, then halves of them."""
+    top = int(np.flatnonzero(count)[-1])
+    count[top] -= 1
+    found = [f for f in islice(fillings(count, capacity - top, slack), LOOKED_AT) if not dominated(count, capacity - top, f)]
+    count[top] += 1
+    for f in sorted(found, key=sum, reverse=True):
+        left = count.copy()
+        times = _use(left, [top, *f])
+        while times:
+            yield [top, *f], times, left
+            times, left = times // 2, count.copy()
+            _use(left, [top, *f], times)
+
+
+def plan(count: np.ndarray, capacity: int = CAPACITY, work: int = WORK) -> list[tuple[list[int], int]]:
+    """[(lengths of one bin, number of such bins)] that use up ``count``; never more bins than best-fit decreasing.
+
+    Depth first; a branch goes where its bins and the lower bound of what is left are no fewer than the incumbent's. Each
+    node's rest is packed best-fit too, so that the search gives packings long before its leaves.
+    """
+    size = lambda steps: sum(t for _, t in steps)
+    least, best = lower_bound(count, capacity), best_fit(count, capacity)
+    if size(best) > least:
+        best = min(best, dive(count, capacity), *by_parts(count, capacity), key=size)
+    tokens = int((count * np.arange(len(count))).sum())
+    open_nodes = [(None, 0, tokens, _children(count.copy(), capacity, (size(best) - 1) * capacity - tokens))] if size(best) > least else []
+    while open_nodes and work > 0 and size(best) > least:
+        before, used, held, children = open_nodes[-1]
+        if (child := next(children, None)) is None:
+            open_nodes.pop()
+            continue
+        filling, times, left = child
+        work -= 20 + np.count_nonzero(left)
+        path, bins, rest = (before, filling, times), used + times, held - times * sum(filling)
+        if bins + lower_bound(left, capacity) >= size(best):
+            continue
+        steps = best_fit(left, capacity)
+        if bins + size(steps) < size(best):
+            best, at = steps, path
+            while at:
+                at, filling, times = at
+                best.append((filling, times))
+        if left.any():
+            open_nodes.append((path, bins, rest, _children(left, capacity, (size(best) - 1 - bins) * capacity - rest)))
+    return best
+
+
 def _places(steps: list[tuple[list[int], int]]) -> np.ndarray:
     """Rows (length, first rank, first bin, pieces of that length a bin, offset of the first), sorted."""
     rows, used, bins = [], {}, 0

@@ -428,6 +428,46 @@ def test_thousands_of_empty_and_one_token_texts(spark):
     assert len({r.doc_id for r in rows}) == 7000 and len(bins) == -(-sum(r.length for r in rows) // 2048)
 
 
+def test_plan_is_least_and_never_above_best_fit():
+    def used(steps, n):
+        assert all(sum(f) < n for f, _ in steps)
+        return sum(np.bincount(f, minlength=n) * t for f, t in steps)
+
+    def least(items, capacity):
+        best = len(items)
+
+        def go(rest, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if not rest:
+                best = len(bins)
+                return
+            for i in {r: i for i, r in enumerate(bins)}.values():
+                if bins[i] >= rest[0]:
+                    go(rest[1:], [*bins[:i], bins[i] - rest[0], *bins[i + 1 :]])
+            go(rest[1:], [*bins, capacity - rest[0]])
+
+        go(sorted(items, reverse=True), [])
+        return best
+
+    hard = np.bincount([994, 973, 845, 821, 775, 534, 353, 343, 307], minlength=2049)
+    for times in (1, 1000):
+        steps = bin_completion.plan(hard * times)
+        assert sum(t for _, t in steps) == 3 * times and (used(steps, 2049) == hard * times).all()
+    rng, better = random.Random(11), 0
+    for _ in range(150):
+        capacity = rng.choice([20, 30, 50])
+        items = [rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(capacity // 5, capacity // 2) for _ in range(rng.randint(1, 11))]
+        count = np.bincount(items, minlength=capacity + 1)
+        steps, fit = bin_completion.plan(count, capacity), bin_completion.best_fit(count, capacity)
+        n, m = (sum(t for _, t in x) for x in (steps, fit))
+        assert (used(steps, capacity + 1) == count).all() and (used(fit, capacity + 1) == count).all()
+        assert bin_completion.lower_bound(count, capacity) <= n == least(items, capacity) <= m
+        better += n < m
+    assert better
+
+
 # pipeline
 
 
