@@ -266,11 +266,11 @@ def orthogonalize(spark, sf):
 
 @query("voronoi_cells", None)
 def voronoi_cells(spark, sf):
-    """F22, M-5: cells of eight seeds in one block."""
+    """F22, M-5: cells of all suppliers in one block; their places, each a seed, are at most 500."""
     from landgrid.functions import overlay
 
     overlay.install(spark)
     seed = overlay.call("FromText", F.concat(F.lit("POINT ("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(")")))
-    seeds = points(spark, sf, "supplier").where("id <= 8").agg(F.array_sort(F.collect_list(seed)).alias("s"))
+    seeds = points(spark, sf, "supplier").select("x", "y").distinct().agg(F.array_sort(F.collect_list(seed)).alias("s"))
     block = overlay.call("FromText", F.lit("POLYGON ((0 0, 500 0, 500 500, 0 500, 0 0))"))
     return seeds.select(F.posexplode(overlay.call("VoronoiCells", "s", block, 10.0)).alias("cell", "g")).select("cell", F.round(overlay.call("Area", "g"), 2).alias("area"))

@@ -21,6 +21,14 @@ def test_query_has_rows(spark, name):
     assert REGISTRY.queries[name](spark, SF).count() > 0
 
 
+def test_voronoi_cells_are_of_all_suppliers(spark):
+    from landgrid.plans.views import points
+
+    for sf in (SF, "/root/testdata/sf0.1"):
+        areas = [r.area for r in REGISTRY.queries["voronoi_cells"](spark, sf).collect()]
+        assert len(areas) == points(spark, sf, "supplier").select("x", "y").distinct().count() > 8 and abs(sum(areas) - 250_000) < 5
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
