@@ -334,25 +334,38 @@ def samples_of(lat: Lattices, texts: list[str], keys: list[int], k: int = SAMPLE
     return [sample(lat, t, key, k, s, edges[a:b]) for t, key, s, a, b in zip(texts, keys, starts, at[:-1], at[1:])]
 
 
+def encode(lat: Lattices, text: str) -> list[int]:
+    return lat.sp.encode(text)
+
+
 def decode(lat: Lattices, ids: list[int]) -> str:
     return lat.sp.decode(ids)
 
 
-def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, folder: str | None = None) -> DataFrame:
-    """doc_id, rank (from 1), ids, n_pieces, log_prob, log_inclusion, ids_crc32 (little-endian unsigned 32-bit)."""
+def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, folder: str | None = None, encoded: bool = False) -> DataFrame:
+    """doc_id, rank (from 1), ids, n_pieces, log_prob, log_inclusion, ids_crc32 (little-endian unsigned 32-bit).
+
+    ``encoded``: also each row's deterministic encoding, as rank 0 without probabilities, and the column ``round_trip``:
+    whether the ids decode to the whole text (where ``▁`` itself reads as a space, which the model can't tell apart).
+    """
+    names = ("doc_id", "rank", "ids", "n_pieces", "log_prob", "log_inclusion", "ids_crc32", *(("round_trip",) if encoded else ()))
 
     def make():
         lat = loaded(Lattices, folder)
 
         def batch(rows: pa.RecordBatch):
             for at in range(0, rows.num_rows, SLICE):  # a batch may hold many texts; their samples leave in small ones
-                cols: dict = {c: [] for c in ("doc_id", "rank", "ids", "n_pieces", "log_prob", "log_inclusion", "ids_crc32")}
+                cols: dict = {c: [] for c in names}
                 part = rows.slice(at, SLICE)
                 # all words first: the arrays are built once for the slice
                 texts, keys = [t or "" for t in part.column("text").to_pylist()], [d or 0 for d in part.column("doc_id").to_pylist()]
-                for doc_id, found in zip(part.column("doc_id").to_pylist(), samples_of(lat, texts, keys, k)):
-                    for r, s in enumerate(found, 1):
+                for doc_id, text, found in zip(part.column("doc_id").to_pylist(), texts, samples_of(lat, texts, keys, k)):
+                    if encoded:
+                        found = [{"ids": encode(lat, text), "log_prob": None, "log_inclusion": None}, *found]
+                    for r, s in enumerate(found, 0 if encoded else 1):
                         row = (doc_id, r, s["ids"], len(s["ids"]), s["log_prob"], s["log_inclusion"], zlib.crc32(np.array(s["ids"], "<u4").tobytes()))
+                        if encoded:
+                            row += (decode(lat, s["ids"]) == text.replace(MARK, " "),)
                         for c, v in zip(cols, row):
                             cols[c].append(v)
                 lat.trim()
@@ -360,8 +373,8 @@ def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, folder: str | None
 
         return batch
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, rank int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, ids_crc32 long")
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, rank int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, ids_crc32 long" + (", round_trip boolean" if encoded else ""))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_segmentations(table(spark, sf_dir, "documents")).drop("ids")
+    return sampled_segmentations(table(spark, sf_dir, "documents"), encoded=True)

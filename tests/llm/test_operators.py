@@ -316,6 +316,14 @@ def test_segmentations_of_documents(docs):
     assert {r.doc_id for r in rows} == set(range(len(TEXTS))) and all(r.log_prob <= 0 and r.log_inclusion <= 0 for r in rows)
 
 
+def test_segmentation_query_encodes_and_decodes_all(spark, lattices):
+    rows = lattice_sampling.op7(spark, SF).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    first = {r.doc_id: r.ids for r in rows if r.rank == 0}
+    assert first == {i: lattice_sampling.encode(lattices, t) for i, t in texts.items()}
+    assert all(r.round_trip and lattice_sampling.decode(lattices, r.ids) == texts[r.doc_id].replace("▁", " ") for r in rows)
+
+
 # language and toxicity
 
 
