@@ -4,7 +4,7 @@ The index is a table ``(digest binary, keep_id, n_chars, group_size)`` bucketed
 the digest of its normalised texts (counts and the best row combine map-side, so a digest holding a third of all rows
 shuffles one row a task), anti-joined with the index and the rest is appended.
 
-Defined results: null text counts as empty, and empty texts are equal to each other; ties go to the smallest doc_id;
+Defined results: null text counts as empty, and empty texts are equal to each other; ties go to the smallest doc_id, to null last;
 a row repeated with its doc_id and text is kept once; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -47,7 +47,7 @@ class DigestIndex:
 
     def append(self, batch: DataFrame) -> None:
         """Takes ``digests()`` rows; those whose digest the index already has change nothing: the earlier batch's row stays."""
-        best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("k"))).alias("best")
+        best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has"), (-F.col("doc_id")).alias("k"))).alias("best")
         groups = batch.groupBy("digest").agg(best, F.count("*").alias("group_size"))
         fresh = groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         fresh = fresh.select("digest", (-F.col("best.k")).alias("keep_id"), F.col("best.n_chars").alias("n_chars"), "group_size")
@@ -66,7 +66,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = batch.groupBy("digest", "doc_id", "n_chars").agg(F.count("*").alias("c"))
     rows = rows.join(index.rows().withColumnRenamed("n_chars", "keep_chars"), "digest")
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"))
-    kept = (F.col("doc_id") == F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")) & (F.col("k") == 1)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")) & (F.col("k") == 1)
     return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

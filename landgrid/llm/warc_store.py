@@ -7,7 +7,8 @@ gives the records back; a payload whose bytes do not have its digest fails the r
 Of records with equal payloads of at least ``min_revisit`` bytes the one with the smallest page_id is a ``response``, the
 others are ``revisit`` records that refer to it; shorter payloads are all responses.
 
-Defined results: null html is an empty payload; null url is written as an empty target; rows that repeat the page_id and
+Defined results: null html is an empty payload; null url is written as an empty target; a null
+page_id sorts last, is written as an empty number and read as null; rows that repeat the page_id and
 payload of a response are responses too, and their payload is still stored once; extra columns are ignored; an empty
 table gives an empty archive. The decision shuffles digests only; payload bytes are moved once, to the store.
 """
@@ -29,10 +30,10 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.octet_length("payload").cast("long"))
-    first = rows.groupBy("digest", "page_id").agg(F.count("*").alias("copies")).groupBy("digest").agg(F.min(F.struct("page_id", "copies")).alias("m")).select("digest", F.col("m.page_id").alias("first_id"), F.col("m.copies").alias("copies"))
+    first = rows.groupBy("digest", "page_id").agg(F.count("*").alias("copies")).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "copies")).alias("m")).select("digest", F.col("m.page_id").alias("first_id"), F.col("m.copies").alias("copies"))
     rows = rows.join(first.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).drop("d")
-    revisit = (F.col("n_bytes") >= min_revisit) & (F.col("page_id") != F.col("first_id"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
+    revisit = (F.col("n_bytes") >= min_revisit) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     line = lambda k, v: F.concat(F.lit(k + ": "), v, F.lit(CRLF))
     header = F.concat(
         F.lit("WARC/1.1" + CRLF),
@@ -46,7 +47,7 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
         F.lit(CRLF),
     )
     rows = rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
-    return rows.withColumn("header", header).withColumn("keeps", F.col("page_id") == F.col("first_id"))
+    return rows.withColumn("header", header).withColumn("keeps", F.col("page_id").eqNullSafe(F.col("first_id")))
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT) -> None:

@@ -178,6 +178,16 @@ def test_archive_round_trip(spark):
     assert warc_store.read_archive(spark, empty).count() == 0
 
 
+def test_null_page_ids_lose_no_page(spark):
+    long = "x" * 200
+    rows = [(None, "n1", long), (4, "u4", long), (7, "u7", long), (None, "n2", None), (8, "u8", None), (None, "n3", "only" * 50)]
+    path = scratch(spark, "warc-test")
+    warc_store.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = {(r.url, r.page_id, bytes(r.payload).decode(), r.record_type, r.refers_to) for r in warc_store.read_archive(spark, path).collect()}
+    kind = {"n1": ("revisit", 4), "u7": ("revisit", 4)}
+    assert got == {(u, i, h or "", *kind.get(u, ("response", None))) for i, u, h in rows}
+
+
 # conversations
 
 
@@ -214,6 +224,13 @@ def test_exact_dedup_edges(docs):
     assert kept.columns == docs.columns and kept.groupBy("doc_id").count().where("count > 1").count() == 0
 
 
+def test_null_and_repeated_doc_ids_lose_no_text(spark):
+    rows = [(None, "a  b"), (3, "a b"), (None, "c"), (5, "c"), (None, "d"), (None, "d"), (9, "one"), (9, "another"), (1, "another")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = digest_index.exact_dedup(df)
+    assert got.count() == 9 and got.where("kept").count() == 5 and got.where("kept IS NULL").count() == 0
+
+
 def test_index_persists_between_batches(spark, docs):
     index = digest_index.DigestIndex(spark)
     digest_index.exact_dedup(docs.where("doc_id < 6"), index)
