@@ -71,13 +71,14 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns; of rows repeated with their doc_id the longest one, once."""
+    """The documents that stay, with their columns; of rows repeated with their doc_id and normalised text the longest one, once."""
     from pyspark.sql import Window
 
-    ids = decisions.where("kept").select(F.col("doc_id").alias("__kept"))
-    order = Window.partitionBy("doc_id").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
-    rows = docs.join(ids, docs["doc_id"] == ids["__kept"], "left_semi")
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    ids = decisions.where("kept").select(F.col("doc_id").alias("__kept"), F.unhex("text_sha256").alias("__sha"))
+    order = Window.partitionBy("doc_id", "__digest").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
+    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)))
+    rows = rows.join(ids, (F.col("__digest") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__digest")
 
 
 ORACLE_SQL = """

@@ -229,6 +229,8 @@ def test_null_and_repeated_doc_ids_lose_no_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = digest_index.exact_dedup(df)
     assert got.count() == 9 and got.where("kept").count() == 5 and got.where("kept IS NULL").count() == 0
+    kept = {(r.doc_id, r.text) for r in digest_index.kept_documents(df, got).collect()}
+    assert kept == {(None, "a  b"), (5, "c"), (None, "d"), (9, "one"), (1, "another")}
 
 
 def test_index_persists_between_batches(spark, docs):
