@@ -1,20 +1,16 @@
 """Overlay functions on WKB, run in the JVM by the JTS library that ships with Spark.
-
-The Java source beside this module is compiled by the driver's JDK when it is first needed; the jar is added to the running
-session, which hands it to the executors. Without a compiler ``install`` raises.
 """
 
 from __future__ import annotations
 
-import os
-import subprocess
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landgrid.functions import jvm
+
 _WKB = T.BinaryType()
 _LIST = T.ArrayType(T.BinaryType())
 FUNCTIONS = {
@@ -24,35 +20,12 @@ FUNCTIONS = {
     "Difference": _WKB, "Intersection": _WKB, "Intersects": T.BooleanType(), "Contains": T.BooleanType(),
     "VoronoiCells": _LIST, "Snap": _WKB, "PlanarFold": _LIST,
 }
-_JAR: str | None = None
-
-
-def _built() -> str:
-    global _JAR
-    if _JAR is None:
-        import pyspark
-
-        home = Path(os.environ.get("SPARK_HOME") or Path(pyspark.__file__).parent)
-        out = Path(tempfile.mkdtemp(prefix="landgrid-overlay-"))
-        source = Path(__file__).parent / "java" / "Overlay.java"
-        try:
-            subprocess.run(["javac", "-nowarn", "-cp", f"{home}/jars/*", "-d", str(out / "classes"), str(source)], check=True, capture_output=True, text=True)
-            subprocess.run(["jar", "cf", str(out / "landgrid-overlay.jar"), "-C", str(out / "classes"), "."], check=True, capture_output=True, text=True)
-        except FileNotFoundError as e:
-            raise RuntimeError("overlay functions need a JDK (javac, jar) where the driver runs") from e
-        except subprocess.CalledProcessError as e:
-            raise RuntimeError(f"overlay functions did not compile: {e.stderr}") from e
-        _JAR = str(out / "landgrid-overlay.jar")
-    return _JAR
+_SOURCE = Path(__file__).parent / "java" / "Overlay.java"
 
 
 def install(spark: SparkSession) -> None:
     """Registers ``lg_<name>`` for every function, once a session."""
-    if spark.catalog.functionExists("lg_planarfold"):
-        return
-    spark.sql(f"ADD JAR '{_built()}'")
-    for name, kind in FUNCTIONS.items():
-        spark.udf.registerJavaFunction(f"lg_{name.lower()}", f"landgrid.Overlay${name}", kind)
+    jvm.register(spark, _SOURCE, {f"lg_{name.lower()}": (f"landgrid.Overlay${name}", kind) for name, kind in FUNCTIONS.items()})
 
 
 def call(name: str, *args: Column | str | float) -> Column:
