@@ -1,9 +1,9 @@
 """SentencePiece encoding, decoding and sampled segmentations without replacement (Gumbel top-k).
 
-``encode`` and ``decode`` are the library's. Sampling works on the lattice of all ways to write the normalised text in
-pieces of the model. A piece weighs alpha times its log-probability: the model's score for unigram models, Zipf's law of
-the merge rank for BPE models. No piece holds a word-start mark after another character, so the lattice is a chain of
-word lattices; each gets its conditional edge probabilities once from a backward pass.
+Sampling works on the lattice of all ways to write the normalised text in pieces of the model. A piece weighs alpha times
+its log-probability: the model's score for unigram models, Zipf's law of the merge rank for BPE models. No piece holds a
+word-start mark after another character, so the lattice is a chain of word lattices; each gets its conditional edge
+probabilities once from a backward pass.
 
 Search: the set of all segmentations has a Gumbel value; its best member is a plain sample with that value. What remains
 are the sets that share a prefix of the sample and leave it at one node; each gets a Gumbel value of its own mass,
@@ -14,30 +14,35 @@ inclusion score: P(included) = 1 - exp(-exp(log p - threshold)).
 
 All random numbers are hashes of (row key, draw, place): a row gives the same samples on any executor and retry.
 
+Tables are searched, encoded and decoded by the Java functions of ``java/Segments.java``, inside the JVM; a thread keeps the lattices of
+words up to a bound of edges. ``Lattices``, ``sample``, ``encode`` and ``decode`` are the same for one text, without Spark; tests hold both
+together and both encodings against the library's. The model is read where its path says, on each executor.
+
 Defined results: null and empty texts have one segmentation, the empty one, with log-probability 0; fewer than k samples
-come back where the lattice has fewer; repeated rows give equal samples; extra columns are ignored.
+come back where the lattice has fewer; a null doc_id is key 0; repeated rows give equal samples; a text is one row's work however long
+it is; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+import math
+from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from landgrid.llm._util import arrow_map, table
-from landgrid.llm.bpe_words import loaded, tokenizer_path
+from landgrid.functions import jvm
+from landgrid.llm._util import table
+from landgrid.llm.bpe_words import tokenizer_path
 
-SLICE = 128  # rows whose words are looked at together
 SAMPLES, ALPHA, MODEL = 2, 1.0, "piece_bpe_32k.model"
 MARK = "▁"
-HOT_NODES, KEPT_NODES = 400_000, 700_000  # of word lattices that one worker keeps for good, and at all
+_ROWS = "array<struct<rank: int, ids: array<int>, n_pieces: long, log_prob: double, log_inclusion: double, ids_crc32: long, round_trip: boolean>>"
+_FUNCTIONS = {"lg_segments": ("landgrid.llm.Segments$Sample", _ROWS), "lg_pieces": ("landgrid.llm.Segments$Encode", "array<int>"), "lg_unpieced": ("landgrid.llm.Segments$Decode", "string")}
 
 
 class Lattices:
-    """Word lattices in flat arrays. A node is a place in a word; its edges are neighbours in the edge arrays."""
+    """A model's pieces and the lattices of single texts."""
 
     def __init__(self, folder: str | None = None, alpha: float = ALPHA, model: str = MODEL):
         import sentencepiece
@@ -45,295 +50,115 @@ class Lattices:
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(model, folder))
         n = sp.get_piece_size()
         normal = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        scores = np.array([sp.get_score(i) for i in normal])
-        if (scores == np.rint(scores)).all():  # merge ranks
-            scores = -np.log1p(-scores) - np.log(np.log(n) + np.euler_gamma)
-        self.weight = {sp.id_to_piece(i): (i, alpha * w) for i, w in zip(normal, scores.tolist())}
+        scores = [sp.get_score(i) for i in normal]
+        if all(s == round(s) for s in scores):  # merge ranks
+            scores = [-math.log1p(-s) - math.log(math.log(n) + 0.57721566490153286) for s in scores]
+        self.weight = {sp.id_to_piece(i): (i, alpha * w) for i, w in zip(normal, scores)}
         self.bytes = {b: sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
-        self.lowest = alpha * float(scores.min())
+        self.lowest = alpha * min(scores)
         self.longest = max(map(len, self.weight))
-        self._trie()
-        self.first_byte, self.last_byte = min(self.bytes.values()), max(self.bytes.values())
-        self._units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self._clear()
-
-    def _trie(self) -> None:
-        """Pieces as a trie in sorted arrays: key state * alphabet + character -> state; each state's piece or -1."""
-        chars = sorted({ord(c) for p in self.weight for c in p})
-        self.chars, self.alphabet = np.array(chars, np.int64), len(chars) + 1
-        at = {chr(c): k + 1 for k, c in enumerate(chars)}
-        step, piece, weight = {}, [-1], [0.0]
-        for p, (i, w) in self.weight.items():
-            state = 0
-            for c in p:
-                k = state * self.alphabet + at[c]
-                state = step.setdefault(k, len(piece))
-                if state == len(piece):
-                    piece.append(-1)
-                    weight.append(0.0)
-            piece[state], weight[state] = i, w
-        keys = sorted(step)
-        self.step_keys, self.step_to = np.array([*keys, 1 << 62]), np.array([*(step[k] for k in keys), 0])
-        self.piece, self.piece_weight = np.array(piece), np.array(weight)
-
-    def _clear(self) -> None:
-        self.kept: dict[str, int] = {}  # first node of a word
-        self.nodes = 0
-        self.extra: dict[int, tuple[int, ...]] = {}  # of an edge that writes a character in several bytes: the ids after the first
-        # by edge: key (node + cumulated probability), next node or -1, log of conditional probability, id; by node: its last and first edge
-        self._parts: list[tuple] = [(np.empty(0), np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))]
-        self.edges = 0
-        self._hot: tuple | None = None  # nodes, edges and arrays of the first words; they hold the frequent ones
-        self._passing: list[str] = []  # words since then
+        self.pairs = {p[i : i + 2] for p in self.weight for i in range(len(p) - 1)}
 
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def units(self, normal: str) -> list[str]:
-        """Cut before every mark that follows another character."""
-        return self._units.findall(normal)
-
-    def add(self, units: list[str]) -> None:
-        """Puts the lattices of new words into the arrays, all at once; a node for each character."""
-        code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
-        sizes = np.array([len(u) for u in units])
-        ends = np.cumsum(sizes)
-        n, left = len(code), np.repeat(ends, sizes) - np.arange(len(code))
-        place = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
-        char = np.where(self.chars[place] == code, place + 1, 0)
-        # edges: all places walk the trie together, one character a step
-        start, size, weight, ids = [], [], [], []
-        p, state, single = np.arange(n), np.zeros(n, np.int64), np.zeros(n, bool)
-        for d in range(self.longest):
-            key = state * self.alphabet + char[p + d]
-            k = np.searchsorted(self.step_keys, key)
-            hit = (self.step_keys[k] == key) & (char[p + d] > 0)
-            p, state = p[hit], self.step_to[k[hit]]
-            whole = self.piece[state] >= 0
-            start.append(p[whole])
-            size.append(np.full(whole.sum(), d + 1))
-            weight.append(self.piece_weight[state[whole]])
-            ids.append(self.piece[state[whole]])
-            if d == 0:
-                single[start[0]] = True
-            on = left[p] > d + 1
-            p, state = p[on], state[on]
-        raw = {int(q): chr(code[q]).encode() for q in np.flatnonzero(~single)}
-        start.append(np.array(list(raw), np.int64))
-        size.append(np.ones(len(raw), np.int64))
-        weight.append(np.array([self.lowest * len(r) for r in raw.values()]))
-        ids.append(np.array([self.bytes[r[0]] for r in raw.values()], np.int64))
-        start, size, weight, ids = map(np.concatenate, (start, size, weight, ids))
-        # backward pass: nodes by the number of characters left, so that all a step needs is there
-        order = np.lexsort((size, start, left[start]))
-        start, size, weight, ids = start[order], size[order], weight[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
-        level = left[start[first]]
-        bounds = np.searchsorted(level, np.arange(1, level[-1] + 2))
-        beta, ended = np.zeros(n), size == left[start]
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            if a == b:
-                continue
-            lo, hi = first[a], first[b] if b < len(first) else len(start)
-            s = weight[lo:hi]
-            s += np.where(ended[lo:hi], 0.0, beta[np.minimum(start[lo:hi] + size[lo:hi], n - 1)])
-            at = first[a:b] - lo
-            top = np.maximum.reduceat(s, at)
-            node = start[first[a:b]]
-            beta[node] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, np.diff(np.append(at, hi - lo)))), at))
-        # ``weight`` now holds edge weight + mass of what follows; by node, likeliest edge first
-        logc = np.minimum(weight - beta[start], 0.0)
-        order = np.lexsort((-logc, start))
-        start, size, logc, ids, ended = start[order], size[order], logc[order], ids[order], ended[order]
-        first = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
-        cum = np.cumsum(np.exp(logc))
-        cum -= np.repeat(np.concatenate([[0.0], cum[first[1:] - 1]]), np.diff(np.append(first, len(cum))))
-        cum = np.clip(cum, 0.0, 1.0)
-        last = np.append(first[1:], len(cum)) - 1
-        cum[last] = 1.0
-        one = last == first
-        logc[first[one]] = 0.0
-        nodes = self.nodes + start
-        for e in np.flatnonzero((ids >= self.first_byte) & (ids <= self.last_byte)):
-            if len(r := raw.get(int(start[e]), b"")) > 1:
-                self.extra[self.edges + int(e)] = tuple(self.bytes[b] for b in r[1:])
-        self._parts.append((nodes + cum, np.where(ended, -1, nodes + size), logc, ids, self.edges + last, self.edges + first))
-        self.kept.update(zip(units, (self.nodes + ends - sizes).tolist()))
-        if self._hot is not None:
-            self._passing += units
-        self.nodes, self.edges = self.nodes + n, self.edges + len(ids)
-
-    def prepare(self, units: list[str]) -> None:
-        if new := list({u: 0 for u in units if u not in self.kept}):
-            self.add(new)
-
-    def starts(self, units: list[str]) -> np.ndarray:
-        try:
-            return np.fromiter(map(self.kept.__getitem__, units), np.int64, len(units))
-        except KeyError:
-            self.prepare(units)
-            return self.starts(units)
-
-    def arrays(self) -> tuple:
-        if len(self._parts) > 1:
-            self._parts = [tuple(map(np.concatenate, zip(*self._parts)))]
-        return self._parts[0]
-
-    def has_bytes(self, ids: np.ndarray) -> bool:
-        return bool(len(self.extra)) and bool(((ids >= self.first_byte) & (ids <= self.last_byte)).any())
-
-    def trim(self) -> None:
-        """Bounded memory: between slices all but the first words is forgotten once there is much. Results do not depend on it."""
-        if self._hot is None and self.nodes > KEPT_NODES:  # a few very long words: nothing worth keeping
-            self._clear()
-        elif self._hot is None and self.nodes > HOT_NODES:
-            self._hot = self.nodes, self.edges, self.arrays()
-        elif self._hot is not None and self.nodes > KEPT_NODES:
-            self.nodes, self.edges, arrays = self._hot
-            self._parts = [arrays]
-            for u in self._passing:
-                del self.kept[u]
-            self._passing = []
-            self.extra = {e: x for e, x in self.extra.items() if e < self.edges}
-
-
-_GOLDEN, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))  # fixed values of splitmix64
-_STEP = np.uint64(0x5851F42D4C957F2D)  # fixed multiplier from one step of a word to the next
-_S30, _S27, _S31, _S11 = (np.uint64(x) for x in (30, 27, 31, 11))
-
-
-def _seed(key: int, draw: int) -> np.uint64:
-    return np.uint64((key * 0xD1342543DE82EF95 + draw * 0xA0761D6478BD642F) & (2**64 - 1))
-
-
-def _uniform(seed: np.uint64, n: int) -> np.ndarray:
-    """Numbers in (0, 1) that depend on seed and place."""
-    return _mixed(np.arange(1, n + 1, dtype=np.uint64) * _GOLDEN + seed)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x.copy()
-    for shift, mul in ((_S30, _M1), (_S27, _M2)):
-        x ^= x >> shift
-        x *= mul
-    x ^= x >> _S31
-    x >>= _S11
-    return x * 2.0**-53 + 2.0**-54
-
-
-def _walk(arrays: tuple, nodes: np.ndarray, seed: np.uint64 | np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(words, edges) of a free sample through words entered at ``nodes`` (-1: nothing left of a word), in text order.
-
-    Numbers hang on seed and place alone, so words of many rows can be walked together or row by row with equal results.
-    """
-    keys, nxt, last, first = arrays[0], arrays[1], arrays[4], arrays[5]
-    word = np.flatnonzero(nodes >= 0)
-    place = np.arange(1, len(nodes) + 1, dtype=np.uint64) if place is None else place
-    node, words, edges = nodes[word], [], []
-    with np.errstate(over="ignore"):
-        base = place * _GOLDEN + seed
-        base = base[word]
-        while len(word):
-            goal = node + _mixed(base)
-            e = first[node]
-            more = np.flatnonzero(keys[e] <= goal)  # not the likeliest edge; the sum may round up to the next node's first one
-            if len(more):
-                e[more] = np.minimum(np.searchsorted(keys, goal[more], side="right"), last[node[more]])
-            words.append(word)
-            edges.append(e)
-            node = nxt[e]
-            on = node >= 0
-            word, node = word[on], node[on]
-            base = base[on] * _STEP + _GOLDEN
-    if not edges:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    words, edges = np.concatenate(words), np.concatenate(edges)
-    order = np.argsort(words, kind="stable")
-    return words[order], edges[order]
+    def nodes(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+        """By place of the normalised text: (next place, log of conditional probability, ids), likeliest first."""
+        s = self.normalise(text)
+        out: list[list] = []
+        for i, c in enumerate(s):
+            edges = [(i + d, w, (k,)) for d in range(1, min(self.longest, len(s) - i) + 1) for k, w in [self.weight.get(s[i : i + d], (-1, 0.0))] if k >= 0]
+            if c not in self.weight:
+                raw = c.encode()
+                edges.append((i + 1, self.lowest * len(raw), tuple(self.bytes[b] for b in raw)))
+            out.append(edges)
+        beta = [0.0] * (len(s) + 1)
+        for i in range(len(s) - 1, -1, -1):
+            mass = [w + beta[j] for j, w, _ in out[i]]
+            top = max(mass)
+            beta[i] = top + math.log(sum(math.exp(m - top) for m in mass)) if len(mass) > 1 else top
+            out[i] = sorted(((j, min(0.0, m - beta[i]), k) for (j, _, k), m in zip(out[i], mass)), key=lambda e: -e[1])
+            if s[i - 1 : i + 1] not in self.pairs:
+                beta[i] = 0.0  # all segmentations have a border here: the lattice behind it by itself
+        return out
+
+
+class _Draws:
+    """Numbers in (0, 1) that hang on row key, draw and place; fixed values of splitmix64."""
+
+    def __init__(self, key: int, draw: int):
+        self.state = self._mixed(self._mixed(key) + draw)
+
+    @staticmethod
+    def _mixed(x: int) -> int:
+        x &= 2**64 - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & 2**64 - 1
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & 2**64 - 1
+        return x ^ x >> 31
+
+    def next(self) -> float:
+        self.state = self.state + 0x9E3779B97F4A7C15 & 2**64 - 1
+        return (self._mixed(self.state) >> 11) * 2.0**-53 + 2.0**-54
+
+
+def _truncated(mass: float, top: float, u: float) -> float:
+    """Gumbel value of a set of log-mass ``mass``, given that it is at most ``top``."""
+    a, b = -top, math.log(-math.log(u)) - mass
+    return min(top, -(max(a, b) + math.log(1 + math.exp(-abs(a - b)))))
 
 
 class _Path:
-    """One emitted segmentation: its edges, each edge's word, and the values of the sets that leave it at each edge."""
-
-    def __init__(self, arrays: tuple, edges: np.ndarray, value: float, seed: np.uint64, since: int = 0):
-        logc = arrays[2][edges]
-        self.edges, self.value = edges, value
-        self.before = np.concatenate([[0.0], np.cumsum(logc)])
-        self.logp = float(self.before[-1])
-        with np.errstate(divide="ignore"):
-            mass = self.before[:-1] + np.log(-np.expm1(logc))
-        self.values = _truncated(mass, value, _uniform(seed, len(edges)))
-        self.values[:since] = -np.inf  # those sets belong to the path that this one left
-        self.excluded: dict[int, list[int]] = {}
-
-
-def _truncated(mass: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
-    """Gumbel values of log-masses, given that they are at most ``top``."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        out = mass - np.logaddexp(mass - top, np.log(-np.log(u)))
-    return np.where(np.isneginf(mass), -np.inf, np.minimum(out, top))
-
-
-def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES, starts: np.ndarray | None = None, walked: np.ndarray | None = None) -> list[dict]:
-    """Up to k distinct segmentations: ids, log_prob, value (perturbed), log_inclusion; highest value first.
-
-    ``starts``, ``walked``: the words' first nodes and the first sample's edges, where the caller made them for many rows.
-    """
-    starts = lat.starts(lat.units(lat.normalise(text))) if starts is None else starts
-    arrays = lat.arrays()
-    keys, nxt, logc, ids, last, first = arrays
-    walked = _walk(arrays, starts, _seed(key, 1))[1] if walked is None else walked
-    paths = [_Path(arrays, walked, float(-np.log(-np.log(_uniform(_seed(key, 2), 1)[0]))), _seed(key, 3))]
-    draw = 8
-    while True:
-        tops = [(float(p.values.max()) if len(p.values) else -np.inf) for p in paths]
-        best = int(np.argmax(tops))
-        if len(paths) == k or tops[best] == -np.inf:
-            break
-        p, top = paths[best], tops[best]
-        t = int(p.values.argmax())
-        node = int(np.ceil(keys[p.edges[t]]) - 1)
-        out = p.excluded.setdefault(t, [int(p.edges[t])])
-        choice = np.array([e for e in range(int(first[node]), int(last[node]) + 1) if e not in out])
-        c = np.exp(logc[choice])
-        u = _uniform(_seed(key, draw), 2)
-        e = int(choice[min(int(np.searchsorted(np.cumsum(c), u[0] * c.sum())), len(choice) - 1)])
-        out.append(e)
-        left = float(c.sum() - np.exp(logc[e])) if len(choice) > 1 else 0.0
-        p.values[t] = _truncated(np.array([p.before[t] + np.log(left)]), top, u[1:])[0] if left > 0 else -np.inf
-        word = int((nxt[p.edges[:t]] < 0).sum())
-        rest = np.concatenate([[nxt[e]], starts[word + 1 :]])
-        edges = np.concatenate([p.edges[:t], [e], _walk(arrays, rest, _seed(key, draw + 1))[1]]).astype(np.int64)
-        paths.append(_Path(arrays, edges, top, _seed(key, draw + 2), t + 1))
-        draw += 4
-    threshold = tops[best]
-    found = []
+    """One emitted segmentation: (place, edge number) of its edges, and the values of the sets that leave it there."""
+
+    def __init__(self, nodes: list, prefix: list, at: int, value: float, draws: _Draws, since: int):
+        self.steps, self.value, self.taken = list(prefix), value, {}
+        while at < len(nodes):
+            e, edges = 0, nodes[at]
+            if len(edges) > 1:
+                x, c = draws.next(), math.exp(edges[0][1])
+                while e < len(edges) - 1 and x >= c:
+                    e += 1
+                    c += math.exp(edges[e][1])
+            self.steps.append((at, e))
+            at = edges[e][0]
+        self.before, self.logp, self.values = [], 0.0, []
+        for t, (i, e) in enumerate(self.steps):
+            self.before.append(self.logp)
+            logc = nodes[i][e][1]
+            self.values.append(_truncated(self.logp + math.log(-math.expm1(logc)), value, draws.next()) if t >= since and len(nodes[i]) > 1 and logc < 0 else -math.inf)
+            self.logp += logc
+
+
+def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES) -> list[dict]:
+    """Up to k distinct segmentations: ids, log_prob, value (perturbed), log_inclusion; highest value first."""
+    nodes, draws = lat.nodes(text), _Draws(key, 0)
+    paths = [_Path(nodes, [], 0, -math.log(-math.log(draws.next())), draws, 0)]
+    best = lambda: max(((max(p.values, default=-math.inf), -n) for n, p in enumerate(paths)))
+    while len(paths) < k and best()[0] > -math.inf:
+        top, n = best()
+        p = paths[-n]
+        t = p.values.index(top)
+        at, own = p.steps[t]
+        draws = _Draws(key, len(paths))
+        taken = p.taken.setdefault(t, [own])
+        free = [(e, math.exp(x[1])) for e, x in enumerate(nodes[at]) if e not in taken]
+        x = draws.next() * sum(c for _, c in free)
+        for e, c in free:
+            x -= c
+            if x < 0:
+                break
+        taken.append(e)
+        left = sum(c for f, c in free if f != e)
+        p.values[t] = _truncated(p.before[t] + math.log(left), top, draws.next()) if left > 0 else -math.inf
+        paths.append(_Path(nodes, [*p.steps[:t], (at, e)], nodes[at][e][0], top, draws, t + 1))
+    threshold, found = best()[0], []
     for p in paths:
-        chosen = ids[p.edges]
-        more = [(i, lat.extra[e]) for i, e in enumerate(p.edges.tolist()) if e in lat.extra] if lat.has_bytes(chosen) else []
-        seq = chosen.tolist()
-        for i, x in reversed(more):
-            seq[i + 1 : i + 1] = x
         gap = p.logp - threshold
-        q = gap if gap < -30 else float(np.log(-np.expm1(-np.exp(min(gap, 700.0)))))
-        found.append({"ids": seq, "log_prob": p.logp, "value": p.value, "log_inclusion": 0.0 if threshold == -np.inf else q})
+        score = 0.0 if threshold == -math.inf else gap if gap < -30 else math.log(-math.expm1(-math.exp(min(gap, 700.0))))
+        found.append({"ids": [i for at, e in p.steps for i in nodes[at][e][2]], "log_prob": p.logp, "value": p.value, "log_inclusion": score})
     return found
 
 
-def samples_of(lat: Lattices, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[dict]]:
-    """``sample`` of many rows; their first samples are walked together."""
-    units = [lat.units(lat.normalise(t)) for t in texts]
-    lat.prepare([u for us in units for u in us])
-    starts = [lat.starts(us) for us in units]
-    sizes = np.array([len(s) for s in starts])
-    arrays, ends = lat.arrays(), np.cumsum(sizes)
-    place = (np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes) + 1).astype(np.uint64)
-    seeds = np.repeat(np.array([_seed(key, 1) for key in keys], np.uint64), sizes)
-    words, edges = _walk(arrays, np.concatenate(starts), seeds, place)
-    at = np.searchsorted(words, np.concatenate([[0], ends]))
-    return [sample(lat, t, key, k, s, edges[a:b]) for t, key, s, a, b in zip(texts, keys, starts, at[:-1], at[1:])]
-
-
 def encode(lat: Lattices, text: str) -> list[int]:
     return lat.sp.encode(text)
 
@@ -342,39 +167,31 @@ def decode(lat: Lattices, ids: list[int]) -> str:
     return lat.sp.decode(ids)
 
 
-def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, folder: str | None = None, encoded: bool = False) -> DataFrame:
+def _call(spark: SparkSession, name: str, *args) -> F.Column:
+    jvm.register(spark, Path(__file__).parent / "java" / "Segments.java", _FUNCTIONS)
+    return F.call_function(name, *[a if isinstance(a, F.Column) else F.lit(a) for a in args])
+
+
+def encoded(docs: DataFrame, folder: str | None = None, column: str = "text", to: str = "ids") -> DataFrame:
+    """The rows with ``to``: the library's ids of the text; null for null."""
+    return docs.withColumn(to, _call(docs.sparkSession, "lg_pieces", F.col(column), tokenizer_path(MODEL, folder)))
+
+
+def decoded(rows: DataFrame, folder: str | None = None, column: str = "ids", to: str = "text") -> DataFrame:
+    """The rows with ``to``: the text that the ids write; null for null. An id that the model does not have fails the job."""
+    return rows.withColumn(to, _call(rows.sparkSession, "lg_unpieced", F.col(column), tokenizer_path(MODEL, folder)))
+
+
+def sampled_segmentations(docs: DataFrame, k: int = SAMPLES, folder: str | None = None, with_encoding: bool = False, alpha: float = ALPHA) -> DataFrame:
     """doc_id, rank (from 1), ids, n_pieces, log_prob, log_inclusion, ids_crc32 (little-endian unsigned 32-bit).
 
-    ``encoded``: also each row's deterministic encoding, as rank 0 without probabilities, and the column ``round_trip``:
+    ``with_encoding``: also each row's deterministic encoding, as rank 0 without probabilities, and the column ``round_trip``:
     whether the ids decode to the whole text (where ``▁`` itself reads as a space, which the model can't tell apart).
     """
-    names = ("doc_id", "rank", "ids", "n_pieces", "log_prob", "log_inclusion", "ids_crc32", *(("round_trip",) if encoded else ()))
-
-    def make():
-        lat = loaded(Lattices, folder)
-
-        def batch(rows: pa.RecordBatch):
-            for at in range(0, rows.num_rows, SLICE):  # a batch may hold many texts; their samples leave in small ones
-                cols: dict = {c: [] for c in names}
-                part = rows.slice(at, SLICE)
-                # all words first: the arrays are built once for the slice
-                texts, keys = [t or "" for t in part.column("text").to_pylist()], [d or 0 for d in part.column("doc_id").to_pylist()]
-                for doc_id, text, found in zip(part.column("doc_id").to_pylist(), texts, samples_of(lat, texts, keys, k)):
-                    if encoded:
-                        found = [{"ids": encode(lat, text), "log_prob": None, "log_inclusion": None}, *found]
-                    for r, s in enumerate(found, 0 if encoded else 1):
-                        row = (doc_id, r, s["ids"], len(s["ids"]), s["log_prob"], s["log_inclusion"], zlib.crc32(np.array(s["ids"], "<u4").tobytes()))
-                        if encoded:
-                            row += (decode(lat, s["ids"]) == text.replace(MARK, " "),)
-                        for c, v in zip(cols, row):
-                            cols[c].append(v)
-                lat.trim()
-                yield cols
-
-        return batch
-
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, rank int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, ids_crc32 long" + (", round_trip boolean" if encoded else ""))
+    rows = _call(docs.sparkSession, "lg_segments", F.col("text"), F.col("doc_id").cast("long"), tokenizer_path(MODEL, folder), k, float(alpha), with_encoding)
+    out = docs.select("doc_id", F.explode(rows).alias("s")).select("doc_id", "s.*")
+    return out if with_encoding else out.drop("round_trip")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled_segmentations(table(spark, sf_dir, "documents"), encoded=True)
+    return sampled_segmentations(table(spark, sf_dir, "documents"), with_encoding=True)
