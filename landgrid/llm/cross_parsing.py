@@ -1,45 +1,62 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text gives the longest match of what follows at any place. A document is
-parsed greedily into such matches by each automaton; a language costs its number of phrases times log2 of its text's
-length (what naming a phrase's place takes), and the language with the fewest such bits wins. Phrases end at words'
-ends, so a word's phrase counts can be kept.
-
-Fit: at most ``SAMPLE_DOCS`` labelled documents a language, those with the smallest hash of doc_id, and of their distinct
-words the first ``SAMPLE_CHARS`` characters in hash order. Only these bounded texts come to the driver. The rest of the
-operator covers every document whole.
-
-Defined results: ``und`` with score 0 for null texts, texts without a letter and where nothing could be learned; ties go
+For each language a suffix automaton of labelled running text gives the longest match of what follows at any place. A
+document is parsed greedily into such matches by each automaton; a language costs its number of phrases times log2 of its
+text's length (what naming a phrase's place takes), and the language with the fewest such bits wins. Texts are read as
+lower-case letters with one blank for all else between them; phrases run across words, and in the labelled text not across
+documents.
+
+Fit: labelled documents of at most a quarter of ``SAMPLE_CHARS`` characters, in the order of a hash of doc_id, whole, at
+most ``SAMPLE_DOCS`` of them a language and as long as they have ``SAMPLE_CHARS`` characters together. Only these
+bounded texts come to the driver; from there they go to a file in the shared folder that executors build the automata from.
+The rest of the operator covers every document whole. Prediction is a Java function (``java/CrossParse.java``);
+``SuffixAutomaton`` and ``Model`` are the same for one text, without Spark, and tests hold both together.
+
+Defined results: ``und`` with score 0 for null texts, texts without a letter (numbers are none) and where nothing could be learned; ties go
 to the first language in alphabetical order; the score is second/(best + second) in bits, 1 if one language was learned;
-repeated rows each have a row; extra columns are ignored.
+repeated rows each have a row (and count each in the bounds of the fit); an empty table gives an empty result; columns
+are kept as they are, whatever their names but ``__lang_pred`` and ``__lang_score``, which fail.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Iterator
+import json
+import math
+import unicodedata
+from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from landgrid.llm._util import arrow_map, held, table
+from landgrid.functions import jvm
+from landgrid.llm._util import scratch, table
+
+SAMPLE_DOCS, SAMPLE_CHARS = 300, 1_000_000
+APART = "\0"  # between documents of labelled text
+
 
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 40_000
-KEPT_WORDS, KEPT_LENGTH, SLICE = 120_000, 40, 1 << 18
-_WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+def normal(text: str) -> str:
+    out = [" "]
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind == "L":
+            out.append(c.lower()[0])
+        elif kind == "M" and out[-1] not in (" ", APART):
+            out.append(c)
+        else:
+            if out[-1] != " ":
+                out.append(" ")
+            out += [APART, " "] * (c == APART)
+    return "".join(out if out[-1] == " " else [*out, " "])
 
 
 class SuffixAutomaton:
-    """Of a text whose words each stand between spaces; ``step`` maps state * 2^21 + character to the next state."""
+    """Of a text; ``step`` maps (state, character) to the next state."""
 
     def __init__(self, text: str):
         link, longest, out = [-1], [0], [{}]
         last = 0
-        for ch in map(ord, text):
+        for ch in text:
             cur = len(out)
             out.append({})
             longest.append(longest[last] + 1)
@@ -62,17 +79,16 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.size = len(text)
-        self.step = {state << 21 | ch: to for state, moves in enumerate(out) for ch, to in moves.items()}
-
-    def phrases(self, word: str) -> int:
-        """Longest matches that follow one another through `` word ``; a character never seen is a phrase of its own."""
-        step, state, n = self.step, 0, 1
-        for ch in map(ord, f" {word} "):
-            to = step.get(state << 21 | ch)
+        self.size, self.out = len(text), out
+
+    def phrases(self, words: str) -> int:
+        """Longest matches that follow one another through `` words ``; a character never seen is a phrase of its own."""
+        state, n = 0, 1
+        for ch in f" {words} ":
+            to = self.out[state].get(ch)
             if to is None:
                 n += state > 0
-                to = step.get(ch)
+                to = self.out[0].get(ch)
                 if to is None:
                     n += 1
                     to = 0
@@ -81,65 +97,21 @@ class SuffixAutomaton:
 
 
 class Model:
-    """The automata of all languages, and what they count for words seen before."""
+    """The automata of all languages."""
 
     def __init__(self, texts: dict[str, str]):
-        self.langs = sorted(k for k, v in texts.items() if v)
-        self.automata = [SuffixAutomaton(texts[k]) for k in self.langs]
-        self.bits = np.array([np.log2(max(2, a.size)) for a in self.automata])
-        self.kept: dict[str, int] = {}
-        self.counts = np.zeros((1024, len(self.langs)), np.int32)
-
-    def _new(self, word: str) -> int:
-        k = len(self.kept)
-        if k + 1 >= len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.counts[k] = [a.phrases(word) for a in self.automata]
-        if len(word) <= KEPT_LENGTH and k < KEPT_WORDS:
-            self.kept[word] = k
-        return k
-
-    def _rows(self, words: list[str]) -> Iterator[np.ndarray]:
-        get, seen, rare = self.kept.get, [], []
-        for w in words:
-            k = get(w)
-            if k is None:
-                k = self._new(w)
-                if k == len(self.kept):  # not kept: its place is used again by the next one
-                    rare.append(self.counts[k].copy())
-                    continue
-            seen.append(k)
-        yield self.counts[seen].sum(0, dtype=np.int64)
-        if rare:
-            yield np.sum(rare, axis=0, dtype=np.int64)
+        texts = {k: n for k, v in sorted(texts.items()) if len(n := normal(v)) > 2}
+        self.langs, self.automata = list(texts), [SuffixAutomaton(t) for t in texts.values()]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total = np.zeros(len(self.langs), np.int64)
-        letters = False
-        for part in _slices(text or ""):
-            if words := _WORDS.findall(part.lower()):
-                letters = True
-                for row in self._rows(words):
-                    total += row
-        if not letters or not self.langs:
+        words = normal((text or "").replace(APART, " ")).strip()
+        if not words or not self.langs:
             return "und", 0.0
-        cost = total * self.bits
-        order = np.argsort(cost, kind="stable")
-        if len(order) == 1:
+        if len(self.langs) == 1:
             return self.langs[0], 1.0
-        best, second = cost[order[0]], cost[order[1]]
-        return self.langs[order[0]], float(second / (best + second))
-
-
-def _slices(text: str) -> Iterator[str]:
-    """Parts cut at white space if there is any within reach; a word of more than SLICE characters is cut."""
-    at = 0
-    while len(text) - at > SLICE:
-        cut = re.compile(r"\s").search(text, at + SLICE, at + 2 * SLICE)
-        end = cut.start() if cut else at + 2 * SLICE
-        yield text[at:end]
-        at = end
-    yield text[at:] if at else text
+        cost = [a.phrases(words) * math.log2(max(2, a.size)) for a in self.automata]
+        (best, lang), (second, _) = sorted(zip(cost, self.langs))[:2]
+        return lang, second / (best + second)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -148,35 +120,40 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Language -> text of distinct words between spaces; bounded whatever the corpus."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = training_rows(docs).select("lang", "doc_id").withColumn("k", rank).where(F.col("k") <= sample_docs).select("lang", "doc_id")
-    # at most sample_docs ids a language: small enough to look the texts up by broadcast
-    rows = docs.select("lang", "doc_id", "text").join(F.broadcast(ids), ["lang", "doc_id"])
-    words = rows.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w")).where(F.length("w") <= 64).distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("w"), "w")
-    sized = words.withColumn("n", F.sum(F.length("w") + 1).over(order)).where(F.col("n") <= sample_chars)
+    """Language -> its labelled documents; bounded whatever the corpus."""
+    rows = docs.select("lang", "doc_id", "text").withColumn("h", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    ids = training_rows(rows).withColumn("n", F.length("text") + 1).where(F.col("n") <= sample_chars // 4).select("lang", "doc_id", "h", "n")
+    ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
+    ids = ids.withColumn("sum", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= sample_chars)
+    # at most sample_docs ids a language: small enough to look the texts up by broadcast; copies of a row come once
+    chosen = F.broadcast(ids.select("lang", "doc_id", "h").distinct())
     found: dict[str, list[str]] = {}
-    for lang, w in sized.select("lang", "w").collect():  # at most sample_chars characters a language
-        found.setdefault(lang, []).append(w)
-    return {lang: " " + " ".join(sorted(ws)) + " " for lang, ws in found.items()}
+    for lang, _, _, text in sorted(rows.join(chosen, ["lang", "doc_id", "h"]).dropDuplicates(["lang", "doc_id", "h"]).select("lang", "doc_id", "h", "text").collect()):
+        found.setdefault(lang, []).append(text.replace(APART, " "))
+    return {lang: APART.join(texts) for lang, texts in found.items()}
 
 
-def tagged(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
-    """The rows with all their columns, and ``__lang_pred`` and ``__lang_score``; predictions read the text only."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(fit(docs) if texts is None else texts), uuid.uuid4().hex
-    names = docs.columns
-
-    def make():
-        model = held(key, lambda: Model(shared.value))
+def stored(spark: SparkSession, texts: dict[str, str]) -> str:
+    """Path of the labelled texts as one file in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark, "languages") + ".json")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(bytearray(json.dumps(texts).encode()))
+    finally:
+        out.close()
+    return path.toString()
 
-        def batch(rows: pa.RecordBatch) -> dict:
-            found = [model.predict(x.as_py()) for x in rows.column("text")]
-            return {c: rows.column(c) for c in names} | {"__lang_pred": [x[0] for x in found], "__lang_score": [x[1] for x in found]}
 
-        return batch
-
-    return arrow_map(docs, make, StructType([*docs.schema, StructField("__lang_pred", StringType()), StructField("__lang_score", DoubleType())]))
+def tagged(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
+    """The rows with all their columns, and ``__lang_pred`` and ``__lang_score``; predictions read the text only."""
+    if clash := {"__lang_pred", "__lang_score"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    spark = docs.sparkSession
+    jvm.register(spark, Path(__file__).parent / "java" / "CrossParse.java", {"lg_language": ("landgrid.llm.CrossParse$Predict", "struct<__lang_pred: string, __lang_score: double>")})
+    found = F.call_function("lg_language", F.col("text"), F.lit(stored(spark, fit(docs) if texts is None else texts)))
+    # inline, so that the function runs once a row
+    return docs.select("*", F.inline(F.array(found)))
 
 
 def identify(docs: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
