@@ -1,10 +1,10 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled running text gives the longest match of what follows at any place. A
-document is parsed greedily into such matches by each automaton; a language costs its number of phrases times log2 of its
-text's length (what naming a phrase's place takes), and the language with the fewest such bits wins. Texts are read as
-lower-case letters with one blank for all else between them; phrases run across words, and in the labelled text not across
-documents.
+document is parsed greedily into such matches by each automaton. Phrases are normalised: one costs log2 of the length of the
+language's text over the number of places where the phrase stands (the bits that name one of them), and the language
+with the fewest bits wins. Texts are read as lower-case letters with one blank for all else between them; phrases run
+across words, and in the labelled text not across documents.
 
 Fit: labelled documents of at most a quarter of ``SAMPLE_CHARS`` characters, in the order of a hash of doc_id, whole, at
 most ``SAMPLE_DOCS`` of them a language and as long as they have ``SAMPLE_CHARS`` characters together. Only these
@@ -55,7 +55,7 @@ class SuffixAutomaton:
 
     def __init__(self, text: str):
         link, longest, out = [-1], [0], [{}]
-        last = 0
+        last, clones = 0, {0}
         for ch in text:
             cur = len(out)
             out.append({})
@@ -71,6 +71,7 @@ class SuffixAutomaton:
                     link[cur] = q
                 else:
                     clone = len(out)
+                    clones.add(clone)
                     out.append(dict(out[q]))
                     longest.append(longest[p] + 1)
                     link.append(link[q])
@@ -80,20 +81,30 @@ class SuffixAutomaton:
                     link[q] = link[cur] = clone
             last = cur
         self.size, self.out = len(text), out
+        self.places = [int(i not in clones) for i in range(len(out))]
+        for i in sorted(range(1, len(out)), key=lambda i: -longest[i]):
+            self.places[link[i]] += self.places[i]
 
-    def phrases(self, words: str) -> int:
-        """Longest matches that follow one another through `` words ``; a character never seen is a phrase of its own."""
-        state, n = 0, 1
+    def parse(self, words: str) -> list[int]:
+        """Number of places of the longest matches that follow one another through `` words ``; 0: a character never seen."""
+        state, found = 0, []
         for ch in f" {words} ":
             to = self.out[state].get(ch)
             if to is None:
-                n += state > 0
+                if state:
+                    found.append(self.places[state])
                 to = self.out[0].get(ch)
                 if to is None:
-                    n += 1
+                    found.append(0)
                     to = 0
             state = to
-        return n - (state == 0)
+        return [*found, self.places[state]] if state else found
+
+    def phrases(self, words: str) -> int:
+        return len(self.parse(words))
+
+    def bits(self, words: str) -> float:
+        return sum(math.log2(max(2, self.size)) - math.log2(max(1, n)) for n in self.parse(words))
 
 
 class Model:
@@ -109,7 +120,7 @@ class Model:
             return "und", 0.0
         if len(self.langs) == 1:
             return self.langs[0], 1.0
-        cost = [a.phrases(words) * math.log2(max(2, a.size)) for a in self.automata]
+        cost = [a.bits(words) for a in self.automata]
         (best, lang), (second, _) = sorted(zip(cost, self.langs))[:2]
         return lang, second / (best + second)
 
