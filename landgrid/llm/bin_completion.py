@@ -277,28 +277,29 @@ def _places(steps: list[tuple[list[int], int]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to (doc_id, piece, length, ...) rows; lengths are 1 to ``capacity``."""
+    """Adds sequence_id and offset to (doc_id, piece, length, ...) rows; lengths are 1 to ``capacity``.
+
+    A piece's rank among those of its length is its rank in its salted group plus the rows of the groups before. The counts of
+    groups, at most ``capacity`` times ``SALTS`` longs (1 MB at 2,048 and 64), go to the driver and out again with the plan.
+    """
     spark = pieces.sparkSession
-    count = np.zeros(capacity + 1, np.int64)
-    for length, n in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
-        count[length] = n
-    places = _places(plan(count, capacity))
+    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    sizes = np.zeros((capacity + 1, SALTS), np.int64)
+    for length, salt, n in salted.groupBy("length", "__salt").count().collect():  # at most capacity * SALTS rows
+        sizes[length, salt] = n
+    before = np.cumsum(sizes, axis=1) - sizes
+    places = _places(plan(sizes.sum(1), capacity))
     key = places[:, 0] * (1 << 44) + places[:, 1]
-    shared = spark.sparkContext.broadcast((key, places))
-
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
-    sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))  # at most capacity * SALTS rows
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("length", "__salt", F.coalesce(before, F.lit(0)).alias("__before"))
+    shared = spark.sparkContext.broadcast((key, places, before))
     within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece"))
-    ranked = salted.withColumn("__n", within).join(F.broadcast(sizes), ["length", "__salt"])
-    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__n") - 1)
+    ranked = salted.withColumn("__n", within)
 
     def make():
-        key, places = shared.value
+        key, places, before = shared.value
 
         def batch(rows: pa.RecordBatch) -> dict:
-            length, rank = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__rank"))
+            length, salt, n = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__salt", "__n"))
+            rank = before[length, salt] + n - 1
             row = places[np.searchsorted(key, length * (1 << 44) + rank, side="right") - 1]
             nth = rank - row[:, 1]
             return {c: rows.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")} | {"sequence_id": row[:, 2] + nth // row[:, 3], "offset": row[:, 4] + nth % row[:, 3] * length}
