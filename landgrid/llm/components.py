@@ -1,37 +1,15 @@
-"""Connected components of a link table by alternating large-star and small-star contraction."""
+"""Connected components of a link table, as the rest of the library has them, with this subpackage's column names."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from landgrid.llm._util import materialise
-
-
-def _mark(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+from landgrid.operators import components as shared
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a long, b long) links, any direction and repeats -> (node, component_id): smallest reachable id.
 
-    Each round is two groupings and two joins over the links that are left and is written to the shared folder;
-    rounds grow with the logarithm of the longest path. Only a count and a checksum come to the driver.
     Self links and null ends are ignored; an empty table gives an empty result.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialise(edges, "links")
-    before = _mark(edges)
-    while before[0]:
-        both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(root, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "links")
-        after = _mark(edges)
-        if after == before:
-            break
-        before = after
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component_id"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component_id")).union(roots).groupBy("node").agg(F.min("component_id").alias("component_id"))
+    return shared.components(links).withColumnRenamed("component", "component_id")

@@ -16,7 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.llm._util import WHITE, materialise
+from landgrid.llm._util import WHITE, materialise, remove
+from landgrid.shared import shared_dir
 
 BUCKETS = 64
 
@@ -32,15 +33,23 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A table in the session's catalog; ``name`` persists between batches."""
+    """A table in the session's catalog, its files in the shared folder (or ``path``); ``name`` persists between batches.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS):
+    Where no name is given the index is for one call; ``drop`` removes table and files.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = BUCKETS, path: str | None = None):
         self.spark, self.name, self.buckets = spark, name or f"digest_index_{uuid.uuid4().hex}", buckets
+        self.path = path or f"{shared_dir(spark)}/landgrid/{self.name}"
         if not spark.catalog.tableExists(self.name):
             self._write(spark.createDataFrame([], "digest binary, keep_id long, n_chars long, group_size long"), "error")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
-        rows.write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        rows.write.mode(mode).format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -60,6 +69,7 @@ class DigestIndex:
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; ``index``: what earlier batches left (else a new one)."""
     batch = materialise(digests(docs), "digests")
+    own = index is None
     index = index or DigestIndex(docs.sparkSession)
     index.append(batch)
     # rows repeated with their doc_id: counted first, so that one of them is kept
@@ -67,7 +77,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = rows.join(index.rows().withColumnRenamed("n_chars", "keep_chars"), "digest")
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")) & (F.col("k") == 1)
-    return rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = rows.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    if own:
+        rows = materialise(rows, "decisions")
+        index.drop()
+    return rows
 
 
 def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
