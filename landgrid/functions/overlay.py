@@ -16,9 +16,9 @@ _LIST = T.ArrayType(T.BinaryType())
 FUNCTIONS = {
     "FromText": _WKB, "ToText": T.StringType(), "Area": T.DoubleType(), "Length": T.DoubleType(), "Kind": T.StringType(),
     "IsValid": T.BooleanType(), "IsEmpty": T.BooleanType(), "MakeValid": _WKB, "LargestPart": _WKB, "Polygons": _LIST,
-    "Centroid": _WKB, "MinimumRectangle": _WKB, "Simplify": _WKB, "Buffer": _WKB, "Corridor": _WKB, "UnionAll": _WKB,
+    "Centroid": _WKB, "Envelope": T.ArrayType(T.DoubleType()), "MinimumRectangle": _WKB, "Simplify": _WKB, "Buffer": _WKB, "Corridor": _WKB, "UnionAll": _WKB,
     "Difference": _WKB, "Intersection": _WKB, "Intersects": T.BooleanType(), "Contains": T.BooleanType(),
-    "VoronoiCells": _LIST, "Snap": _WKB, "PlanarFold": _LIST,
+    "VoronoiCells": _LIST, "Snap": _WKB, "PlanarFold": _LIST, "PlanarCut": _WKB,
 }
 _SOURCE = Path(__file__).parent / "java" / "Overlay.java"
 

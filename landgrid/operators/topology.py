@@ -9,11 +9,13 @@ from landgrid.functions import measures as M
 from landgrid.functions import overlay
 from landgrid.operators import joins
 from landgrid.operators.components import components
+from landgrid.shared import materialise
 
 # Kinds of geometry a layer may hold, and each layer's least area in square metres.
 KINDS = ("Polygon", "MultiPolygon", "LineString", "MultiLineString")
 LEAST_AREA = {"buildings": 15.0, "parcels": 80.0, "land_use": 30.0}
 MIN_COMPACTNESS, MIN_RESIDUE = 0.01, 10.0
+FOLDED = 50_000  # polygons that one task folds
 
 
 def kept_kind(kind: Column) -> Column:
@@ -45,32 +47,64 @@ def without_slivers(df: DataFrame, min_area: float = 20.0, min_compactness: floa
 
 
 def boxed(df: DataFrame) -> DataFrame:
-    """Adds the bounding box of ``geom``, read from its envelope's corners in text form."""
-    text = overlay.call("ToText", "geom")
-    number = r"-?\d+(?:\.\d+)?(?:E-?\d+)?"
-    xy = F.transform(F.regexp_extract_all(text, F.lit(f"({number} {number})"), F.lit(1)), lambda p: F.transform(F.split(p, " "), lambda v: v.cast("double")))
-    df = df.withColumn("__xy", xy)
-    side = lambda k, f: f(F.transform("__xy", lambda p: p[k]))
-    return df.select("*", side(0, F.array_min).alias("minx"), side(1, F.array_min).alias("miny"), side(0, F.array_max).alias("maxx"), side(1, F.array_max).alias("maxy")).drop("__xy")
+    """Adds the bounding box of ``geom``."""
+    df = df.withColumn("__box", overlay.call("Envelope", "geom"))
+    return df.select("*", *[F.get("__box", F.lit(i)).alias(s) for i, s in enumerate(("minx", "miny", "maxx", "maxy"))]).drop("__box")
 
 
-def resolve_overlaps(df: DataFrame, cell: float = 10.0, key: str = "id") -> DataFrame:
+def resolve_overlaps(df: DataFrame, cell: float = 10.0, key: str = "id", in_task: int = FOLDED) -> DataFrame:
     """Larger polygons first, ties by ``key``; each keeps what those before it left.
 
-    The fold is sequential, but only polygons whose boxes overlap can touch each other: components of the box-overlap graph
-    are folded apart and in parallel. Attributes stay with their geometry; area and perimeter are measured again.
+    Only polygons whose boxes overlap can touch each other. Components of the box-overlap graph with at most ``in_task``
+    polygons are folded in one task each (all at once where they have no more together); larger ones go by rounds over
+    the overlap graph, with the same result.
+    Attributes stay with their geometry; area and perimeter are measured again.
     """
     overlay.install(df.sparkSession)
-    df = boxed(measured(df))
-    links = joins.overlapping_boxes(df, cell, key)
-    group = components(links).select(F.col("node").alias(key), "component")
-    alone = df.join(group, key, "left_anti").drop("minx", "miny", "maxx", "maxy")
+    df = materialise(boxed(measured(df)), "planar-in")
+    links = materialise(joins.overlapping_boxes(df, cell, key), "planar-links")
+    nodes = links.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    if nodes.limit(in_task + 1).count() <= in_task:  # one task can take them all: no need to tell components apart
+        group = nodes.withColumn("component", F.lit(0))
+    else:
+        group = components(links).select(F.col("node").alias(key), "component")
+    sizes = group.groupBy("component").agg(F.count("*").alias("members"))
+    group = materialise(group.join(sizes, "component"), "planar-groups")
+    rest = df.drop("minx", "miny", "maxx", "maxy")
+    alone = rest.join(group, key, "left_anti")
     order = F.array_sort(F.collect_list(F.struct((-F.col("area_sqm")).alias("o"), F.col(key).alias("k"), F.col("geom").alias("g"))))
-    folded = df.join(group, key).groupBy("component").agg(order.alias("s"))
+    folded = rest.join(group.where(F.col("members") <= in_task), key).groupBy("component").agg(order.alias("s"))
     folded = folded.withColumn("out", overlay.call("PlanarFold", F.transform("s", lambda x: x["g"]), MIN_RESIDUE))
-    pieces = folded.select(F.explode(F.arrays_zip(F.transform("s", lambda x: x["k"]).alias("k"), F.col("out").alias("g"))).alias("z")).select(F.col("z.k").alias(key), F.col("z.g").alias("geom")).where("geom IS NOT NULL")
-    rest = df.drop("geom", "area_sqm", "perimeter_m", "minx", "miny", "maxx", "maxy")
-    return alone.unionByName(measured(rest.join(pieces, key)).select(alone.columns))
+    pieces = folded.select(F.explode(F.arrays_zip(F.transform("s", lambda x: x["k"]).alias("k"), F.col("out").alias("g"))).alias("z")).select(F.col("z.k").alias(key), F.col("z.g").alias("geom"))
+    large = group.where(F.col("members") > in_task).select(key)
+    if not large.isEmpty():
+        pieces = pieces.unionByName(_by_rounds(rest.join(large, key, "left_semi").select(key, "area_sqm", "geom"), links, key))
+    pieces = pieces.where("geom IS NOT NULL")
+    return alone.unionByName(measured(rest.drop("geom", "area_sqm", "perimeter_m").join(pieces, key)).select(alone.columns))
+
+
+def _by_rounds(df: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(key, area_sqm, geom) -> (key, geom or null): each polygon less what its larger neighbours keep.
+
+    All polygons start whole; a round cuts those anew that have a neighbour before them whose rest changed in the last one.
+    What has n neighbours in a chain before it is right after n rounds, so the rounds end where nothing changes; most
+    chains end early, as only what a neighbour gave up can change a polygon again.
+    """
+    place = df.select(F.col(key).alias("k"), F.struct((-F.col("area_sqm")).alias("o"), F.col(key).alias("k")).alias("p"))
+    ends = links.join(place.withColumnsRenamed({"k": "a", "p": "pa"}), "a").join(place.withColumnsRenamed({"k": "b", "p": "pb"}), "b")
+    first = F.col("pa") < F.col("pb")
+    before = materialise(ends.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier")), "planar-order")
+    whole = df.select(F.col(key).alias("k"), F.col("geom").alias("whole"))
+    now = materialise(whole.select("k", F.col("whole").alias("rest"), F.lit(True).alias("changed")), "planar-round")
+    while True:
+        again = before.join(now.where("changed").select(F.col("k").alias("earlier")), "earlier", "left_semi").select("later").distinct()
+        covers = before.join(again, "later", "left_semi").join(now.select(F.col("k").alias("earlier"), "rest"), "earlier")
+        covers = covers.groupBy("later").agg(F.collect_list("rest").alias("covers")).withColumnRenamed("later", "k")
+        cut = whole.join(covers, "k").select("k", overlay.call("PlanarCut", F.col("whole"), F.col("covers"), MIN_RESIDUE).alias("new"), F.lit(True).alias("done"))
+        now = now.join(cut, "k", "left").select("k", F.when(F.col("done"), F.col("new")).otherwise(F.col("rest")).alias("rest"), (F.coalesce("done", F.lit(False)) & ~F.col("new").eqNullSafe(F.col("rest"))).alias("changed"))
+        now = materialise(now, "planar-round")
+        if now.where("changed").isEmpty():
+            return now.select(F.col("k").alias(key), F.col("rest").alias("geom"))
 
 
 def orthogonalised(df: DataFrame, tolerance: float = 0.5) -> DataFrame:
