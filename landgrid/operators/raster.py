@@ -78,7 +78,31 @@ def scale_factor(width: int, height: int, target: int) -> int:
     return max(1, round(max(width, height) / target))
 
 
-def decimate(px: DataFrame, s: int) -> DataFrame:
+def decimate(px: DataFrame, s: int, size: tuple[int, int] | None = None, value: str | None = None) -> DataFrame:
+    """Every s-th pixel of every s-th row.
+
+    ``size``: rows and columns of the raster. Where they are no multiples of s, the ceil(n / s) pixels of an axis go to
+    floor(n / s) cells: ``value`` (r, c and it are the columns then) by the shares of area, other columns from the nearest pixel.
+    """
+    px = _strided(px, s)
+    for axis, n in zip("rc", size or ()):
+        have, want = -(-n // s), n // s
+        if have == want or not want:
+            continue
+        k = have / want
+        at, other = F.col(axis), "c" if axis == "r" else "r"
+        if value is None:
+            taken = F.explode(F.filter(F.sequence(F.floor(at / k).cast("int"), F.floor((at + 1) / k).cast("int")), lambda i: (F.floor(i * k) == at) & (i < want)))
+            px = px.withColumn(axis, taken)
+            continue
+        parts = px.withColumn("__i", F.explode(F.sequence(F.floor(at / k).cast("int"), F.least(F.lit(want - 1), F.floor((at + 1) / k).cast("int")))))
+        share = F.least((F.col("__i") + 1) * k, at + 1.0) - F.greatest(F.col("__i") * k, at + 0.0)
+        parts = parts.withColumn("__w", share).where("__w > 0")
+        px = parts.groupBy(F.col("__i").alias("__at"), other).agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias(value)).withColumnRenamed("__at", axis).select("r", "c", value)
+    return px
+
+
+def _strided(px: DataFrame, s: int) -> DataFrame:
     return px.where((F.col("r") % s == 0) & (F.col("c") % s == 0)).withColumn("r", F.expr(f"r div {s}")).withColumn("c", F.expr(f"c div {s}"))
 
 
@@ -101,7 +125,7 @@ def pixel_length(t: tuple) -> float:
 
 
 def _line(across: str, along: str, half: int):
-    return Window.partitionBy(across).orderBy(along).rowsBetween(-half, half)
+    return Window.partitionBy(across).orderBy(along).rangeBetween(-half, half)  # by place, so that missing pixels are no neighbours
 
 
 def box_sum(grid: DataFrame, value: str, out: str, half: int = 1) -> DataFrame:
@@ -146,7 +170,7 @@ def distance_transform_small(mask: DataFrame, reach: int) -> DataFrame:
     """D-7 for widths up to ``reach`` pixels: distance of each set pixel to the nearest unset one within reach.
 
     Unset pixels are spread over the offsets around them (an equi-join's worth of rows, not a cross join); pixels further
-    than ``reach`` from any unset pixel are left out. ``landgrid.operators.skeleton`` has the exact transform.
+    than ``reach`` from any unset pixel are left out. ``vectorize.distance`` has the exact transform.
     """
     offsets = [(dr, dc, dr * dr + dc * dc) for dr in range(-reach, reach + 1) for dc in range(-reach, reach + 1) if dr * dr + dc * dc <= reach * reach]
     offs = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(d).alias("d2")) for a, b, d in offsets])

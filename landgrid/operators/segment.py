@@ -74,7 +74,13 @@ def sql_features(px: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     row, col = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
-    side = lambda v, w: F.coalesce(F.lag(v).over(w), F.lit(0)) + F.coalesce(F.lead(v).over(w), F.lit(0))
+
+    def side(v, w):
+        """The two neighbours along a line; a pixel that is missing counts as zero."""
+        at = F.col("c") if w is row else F.col("r")
+        one = lambda f, d: F.coalesce(F.when(f("c" if w is row else "r").over(w) == at + d, f(v).over(w)), F.lit(0))
+        return one(F.lag, -1) + one(F.lead, 1)
+
     df = px.withColumn("b", F.col("b1") + F.col("b2") + F.col("b3"))
     for k in ("b1", "b2", "b3", "b"):
         df = df.withColumn(f"{k}_w", side(k, row))

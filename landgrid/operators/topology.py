@@ -119,12 +119,16 @@ def orthogonalised(df: DataFrame, tolerance: float = 0.5) -> DataFrame:
 
 
 def with_dimensions(df: DataFrame) -> DataFrame:
-    """longer and shorter side of the smallest rectangle around the geometry, two decimals."""
+    """longer and shorter side of the smallest rectangle around the geometry, two decimals; of its bounding box where there is none."""
     text = overlay.call("ToText", overlay.call("MinimumRectangle", "geom"))
     xy = F.transform(F.split(F.regexp_replace(text, r"[A-Z()]+", ""), ","), lambda p: F.transform(F.split(F.trim(p), " "), lambda v: v.try_cast("double")))
     edge = lambda a, b: F.sqrt(F.pow(a[0] - b[0], F.lit(2)) + F.pow(a[1] - b[1], F.lit(2)))
     df = df.withColumn("__p", xy).withColumn("__a", edge(F.get("__p", F.lit(0)), F.get("__p", F.lit(1)))).withColumn("__b", edge(F.get("__p", F.lit(1)), F.get("__p", F.lit(2))))
-    return df.withColumn("length_m", F.round(F.greatest("__a", "__b"), 2)).withColumn("width_m", F.round(F.least("__a", "__b"), 2)).drop("__p", "__a", "__b")
+    df = df.withColumn("length_m", F.round(F.greatest("__a", "__b"), 2)).withColumn("width_m", F.round(F.least("__a", "__b"), 2)).drop("__p", "__a", "__b")
+    # what has no such rectangle takes the sides of its bounding box
+    box = overlay.call("Envelope", "geom")
+    longer, shorter = M.box_dimensions({s: F.get(box, F.lit(i)) for i, s in enumerate(("minx", "miny", "maxx", "maxy"))})
+    return df.withColumn("length_m", F.coalesce("length_m", longer)).withColumn("width_m", F.coalesce("width_m", shorter))
 
 
 def repair_layers(layers: dict[str, DataFrame], compat: bool = False, least: dict[str, float] | None = None) -> dict[str, DataFrame]:

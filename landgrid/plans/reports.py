@@ -39,6 +39,25 @@ def summary_of(layers: dict[str, DataFrame]) -> dict:
     return {"counts": {"buildings": m.buildings, "roads": m.roads, "parcels": m.parcels, "land_use_polygons": m.land_use}, "metrics": {"total_building_footprint_sqm": m.footprint_sqm, "total_road_network_km": m.road_km, "total_parcel_area_hectares": m.parcel_ha}}
 
 
+def audit_report(summary: dict, land_use: DataFrame) -> str:
+    """P5: a run's figures, ratios and land use by class, as Markdown."""
+    n, m = summary["counts"], summary["metrics"]
+    sqm, footprint = m["total_parcel_area_hectares"] * 10000, m["total_building_footprint_sqm"]
+    share = lambda a, b: a / b if b > 0 else 0.0
+    classes = land_use.groupBy("class").agg(F.sum("area_sqm").alias("a")).orderBy("class").collect()  # a row a class
+    lines = [
+        "# Land survey report", "",
+        f"- Input: {summary['input_file']}", f"- Size: {summary['dimensions_px']} pixels", f"- CRS: {summary['crs']}", f"- Seconds: {summary['processing_time_seconds']}", "",
+        "## Figures", "",
+        f"- Parcels: {n['parcels']}, {m['total_parcel_area_hectares']:.3f} ha ({sqm:,.1f} m2)",
+        f"- Mean parcel: {share(sqm, n['parcels']):,.1f} m2", f"- Parcels a hectare: {share(n['parcels'], m['total_parcel_area_hectares']):.1f}",
+        f"- Buildings: {n['buildings']}, {footprint:,.1f} m2", f"- Building coverage: {share(footprint * 100, sqm):.2f} %",
+        f"- Roads: {n['roads']}, {m['total_road_network_km']:.3f} km", f"- Land-use polygons: {n['land_use_polygons']}", "",
+        "## Land use", "", "| Class | m2 | ha |", "|-|-|-|", *[f"| {r['class']} | {r.a:.2f} | {r.a / 10000:.3f} |" for r in classes],
+    ]
+    return "\n".join(lines) + "\n"
+
+
 def _rows(spark, sf):
     return features(spark, sf).withColumn("layer", F.expr(_LAYER))
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landgrid.functions import crs
+from landgrid.functions import crs, overlay
+from landgrid.shared import scratch
 
 # Column names looked for in a CSV of points, in order of preference.
 LON, LAT = ("lon", "longitude", "x"), ("lat", "latitude", "y")
@@ -49,6 +51,8 @@ def read_pegs(spark: SparkSession, path: str, target: int = 3857, compat: bool =
     df = df.where("x IS NOT NULL AND y IS NOT NULL")
     if compat or target == 4326:
         return df
+    if target not in crs.SRIDS:
+        raise ValueError(f"no transformation from 4326 to {target}")
     x, y = crs.to_mercator(F.col("x"), F.col("y"))
     return df.select(x.alias("x"), y.alias("y"))
 
@@ -84,6 +88,25 @@ def assemble(spark: SparkSession, path: str, target: str) -> int:
     return n
 
 
+def write_layers(layers: dict[str, DataFrame], folder: str, srid: int) -> dict[str, str]:
+    """A GeoPackage in the layers' CRS and a GeoJSON file a non-empty layer in degrees; the paths by name."""
+    os.makedirs(folder, exist_ok=True)
+    if srid not in crs.SRIDS:
+        raise ValueError(f"no transformation from {srid} to 4326")
+    found = {"geopackage": os.path.abspath(os.path.join(folder, "layers.gpkg"))}
+    write_gpkg(layers, found["geopackage"], srid)
+    for name, df in layers.items():
+        target = os.path.abspath(os.path.join(folder, f"{name}.geojson"))
+        found[name.replace("_", "") + "_geojson"] = target
+        props = F.to_json(F.struct(*[c for c in df.columns if c != "geom"]), {"ignoreNullFields": "false"})
+        lines = df.select(F.concat(F.lit('{"type":"Feature","properties":'), props, F.lit(',"geometry":'), overlay.call("ToGeoJson", F.col("geom"), F.lit(srid == 3857)), F.lit("}")).alias("value"))
+        path = scratch(df.sparkSession, f"geojson-{name}")
+        lines.write.text(path)
+        if not assemble(df.sparkSession, path, target):
+            os.remove(target)
+    return found
+
+
 def write_summary(summary: dict, path: str) -> None:
     Path(path).write_text(json.dumps(summary, indent=2), encoding="utf-8")
 
