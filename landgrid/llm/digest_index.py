@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm._util import WHITE, materialise, remove
@@ -86,13 +86,13 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def kept_documents(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The documents that stay, with their columns; of rows repeated with their doc_id and normalised text the longest one, once."""
-    from pyspark.sql import Window
-
-    ids = decisions.where("kept").select(F.col("doc_id").alias("__kept"), F.unhex("text_sha256").alias("__sha"))
-    order = Window.partitionBy("doc_id", "__digest").orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
-    rows = docs.withColumn("__digest", F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256)))
-    rows = rows.join(ids, (F.col("__digest") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__digest")
+    sha = F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    keys = lambda digest: {"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__digest": digest}
+    ids = decisions.where("kept").withColumns(keys(F.unhex("text_sha256"))).select(*keys(sha))
+    # the window is dealt out as the join is, so texts are shuffled once
+    order = Window.partitionBy(*keys(sha)).orderBy(F.length(F.coalesce("text", F.lit(""))).desc())
+    rows = docs.withColumns(keys(sha)).join(ids, list(keys(sha)), "left_semi")
+    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
 
 
 ORACLE_SQL = """
