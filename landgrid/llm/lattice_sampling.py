@@ -124,9 +124,9 @@ class _Path:
         self.before, self.logp, self.values = [], 0.0, []
         for t, (i, e) in enumerate(self.steps):
             self.before.append(self.logp)
-            logc = nodes[i][e][1]
-            self.values.append(_truncated(self.logp + math.log(-math.expm1(logc)), value, draws.next()) if t >= since and len(nodes[i]) > 1 and logc < 0 else -math.inf)
-            self.logp += logc
+            others = sum(math.exp(x[1]) for k, x in enumerate(nodes[i]) if k != e)  # not taken from 1, as they may be few
+            self.values.append(_truncated(self.logp + math.log(others), value, draws.next()) if t >= since and others > 0 else -math.inf)
+            self.logp += nodes[i][e][1]
 
 
 def sample(lat: Lattices, text: str, key: int, k: int = SAMPLES) -> list[dict]:

@@ -29,6 +29,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_lattice_neardup": lattice_neardup.ORACLE_SQL,
         "op3_warc_content_store": warc_store.ORACLE_SQL,
         "op4_chat_event_fold": chat_events.ORACLE_SQL,
         "op5_digest_index": digest_index.ORACLE_SQL,

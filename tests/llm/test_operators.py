@@ -515,3 +515,152 @@ def test_pipeline_stages(spark):
     near = golay_simhash.near_duplicates(docs)
     assert near.where("doc_id <> component_id").count() == 0
     assert c.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == seen[-1]
+
+
+# rows and edges of the second round
+
+
+def test_vectors_that_share_an_id_keep_a_row_each(spark):
+    rng = np.random.default_rng(3)
+    a, c = rng.standard_normal(64), rng.standard_normal(64)
+    b = a + 0.05 * rng.standard_normal(64)  # linked to a
+    rows = [(5, a.tolist()), (5, b.tolist()), (6, c.tolist()), (7, a.tolist()), (8, None), (5, None), (9, [0.0] * 64), (None, c.tolist())]
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id, r.kept) for r in lattice_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(-1, 1, 6, False), (5, 0, 5, True), (5, 2, 5, True), (5, 2, 5, True), (6, 1, 6, True), (7, 2, 5, False), (8, 0, 8, True), (9, 0, 9, True)]
+
+
+def test_planted_links_around_the_threshold(spark):
+    rng, rows = np.random.default_rng(11), []
+    for k in range(400):
+        x = rng.standard_normal(64)
+        x /= np.linalg.norm(x)
+        y = rng.standard_normal(64)
+        y -= y @ x * x
+        cos = 0.93 + 0.04 * k / 400
+        rows += [(2 * k, x.tolist()), (2 * k + 1, (cos * x + np.sqrt(1 - cos * cos) * y / np.linalg.norm(y)).tolist())]
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(m @ m.T >= 0.95)) if i < j}
+    got = {r.vec_id for r in lattice_neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("n_links > 0").collect()}
+    ends = {i for pair in want for i in pair}
+    assert got <= ends and len(got) >= 0.98 * len(ends)
+
+
+def test_tables_are_segmented_as_single_texts(spark, lattices):
+    texts = [None, "", " ", "a  b <s> é😀\n x", "▁▁ x ▁y", "hello wonderful world", "日本語", "x" * 300, "tokenisation of sentences, in pieces.\n" * 4]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "hello"), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("x")).withColumn("rank", F.lit(1))
+    got = lattice_sampling.sampled_segmentations(docs, 3, with_encoding=True).collect()
+    for doc_id, text in rows:
+        want = lattice_sampling.sample(lattices, text or "", doc_id or 0, 3)
+        mine = [r for r in got if r.doc_id == doc_id]
+        assert all(r.round_trip for r in mine)
+        for r in mine:
+            if r["rank"]:
+                w = want[r["rank"] - 1]
+                assert r.ids == w["ids"] and abs(r.log_prob - w["log_prob"]) < 1e-6 and abs(r.log_inclusion - w["log_inclusion"]) < 1e-6
+            else:
+                assert r.ids == lattices.sp.encode(text or "")
+    assert lattice_sampling.sampled_segmentations(docs.limit(0)).count() == 0
+
+
+def test_tables_are_encoded_and_decoded_as_the_library_does(spark, lattices):
+    texts = [None, "", "a  b <s> é😀\n x", "    lots    of     spaces      ", "x" * 70_000, "日本語 テキスト <|endoftext|> é", "\x00\x7f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lattice_sampling.decoded(lattice_sampling.encoded(docs), to="back").collect():
+        assert (r.ids, r.back) == ((None, None) if r.text is None else (lattices.sp.encode(r.text), lattices.sp.decode(lattices.sp.encode(r.text))))
+
+
+def test_languages_of_a_whole_table_by_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(9001, "½ ²", None), (9002, "Ⅷ", None), (9003, None, "en"), (9004, "İstanbul ñandú", None), (9005, "नमस्ते दुनिया", None), (9006, "w" * 50_000, None), (9007, "a", None), (9007, "a", None)]
+    d = d.unionByName(spark.createDataFrame(odd, d.schema))
+    texts = {k: v[:5000] for k, v in cross_parsing.fit(d, 20, 40_000).items()}
+
+    def brute(text):
+        """Longest matches by looking each one up in the labelled text."""
+        words = cross_parsing.normal((text or "").replace("\0", " "))
+        cost = []
+        for lang, labelled in sorted(texts.items()):
+            t, i, bits = cross_parsing.normal(labelled), 0, 0.0
+            while i < len(words):
+                j = i + 1
+                while j < len(words) and words[i : j + 1] in t:
+                    j += 1
+                places = sum(t.startswith(words[i:j], k) for k in range(len(t))) if words[i:j] in t else 1
+                bits += np.log2(len(t)) - np.log2(places)
+                i = j
+            cost.append((bits, lang))
+        cost.sort()
+        return ("und", 0.0) if len(words) < 2 or not words.strip() else (cost[0][1], cost[1][0] / (cost[0][0] + cost[1][0]))
+
+    model, got = cross_parsing.Model(texts), cross_parsing.identify(d, texts).collect()
+    assert len(got) == d.count()
+    by = {}
+    for r in d.collect():
+        by.setdefault(r.doc_id, r.text)
+    for r in got:
+        lang, score = model.predict(by[r.doc_id])
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6
+        if len(by[r.doc_id] or "") < 150:
+            assert brute(by[r.doc_id])[0] == lang and abs(brute(by[r.doc_id])[1] - score) < 1e-9
+    assert {r.lang_pred for r in got if r.doc_id in (9001, 9002, 9003)} == {"und"}
+    with pytest.raises(ValueError):
+        cross_parsing.tagged(d.withColumn("__lang_pred", F.lit("x")), texts)
+
+
+def test_index_of_a_call_is_dropped(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert digest_index.exact_dedup(docs).count() == docs.count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_pipeline_stages_by_brute_force(spark):
+    """Each stage on nulls, empty texts, copies, near copies and extra columns, against plain Python."""
+    import corpus_pipeline as P
+
+    words = "the cat sat on the mat and then it slept all day long under a warm sun while birds sang".split()
+    base = " ".join(words * 3)
+    rows = [(1, base), (2, base.replace(" ", "  ")), (3, base + " x"), (4, None), (5, ""), (6, "½"), (7, "Another short text about rivers and hills."), (7, "Quite a different text of the same id."), (8, "a b"), (9, "A  B"), (None, "no id here"), (10, base)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0, "e") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __extra string")
+    plain = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in df.collect())
+    kept = P.language_id(spark, d, SF)
+    assert kept.columns == d.columns and plain(kept) == sorted((i if i is not None else -1, t) for i, t in rows if t and any(c.isalpha() for c in t))
+
+    best = {}
+    for i, t in rows:
+        key = "".join(c for c in t or "" if c not in " \t\n\x0b\f\r")
+        rank = (-len(t or ""), i is None, i or 0)
+        if key not in best or rank < best[key][0]:
+            best[key] = (rank, (i if i is not None else -1, t or ""))
+    deduped = P.exact_dedup(spark, d, SF)
+    assert deduped.columns == d.columns and plain(deduped) == sorted(v for _, v in best.values())
+
+    some = d.where("doc_id IS NOT NULL")
+    ids = [(i, t) for i, t in rows if i is not None]
+    fp = [golay_simhash.fingerprint(t) for _, t in ids]
+    root = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(fp[a] ^ fp[b]).count("1") <= 4])
+    first = {}
+    for (i, _), r in zip(ids, root):
+        first[r] = min(i, first.get(r, i))
+    near = P.simhash_dedup(spark, some, SF)
+    assert near.columns == d.columns and {r.doc_id for r in near.collect()} == set(first.values())
+
+    packed = P.packing(spark, some, SF).collect()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe_words.tokenizer_path("word_bpe_49k.json"))
+    lengths = sorted(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ids)
+    assert sorted(r.length for r in packed) == lengths and len({r.sequence_id for r in packed}) == 1 == -(-sum(lengths) // 2048)
+    for _, stage in P.STAGES:
+        assert stage(spark, d.limit(0), SF).count() == 0
+
+
+def test_toxicity_scores_by_plain_loops(spark):
+    d, lab = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity_gbt.fit(d, lab)
+    got = toxicity_gbt.scored(d, model).select("doc_id", "text", "__toxicity").collect()
+    assert len(got) == d.count() and all(0 <= r["__toxicity"] <= 1 for r in got)
+    again = {(r.doc_id, r.text): r["__toxicity"] for r in toxicity_gbt.scored(d.repartition(7), model).collect()}
+    assert all(abs(again[r.doc_id, r.text] - r["__toxicity"]) < 1e-12 for r in got)
+    assert toxicity_gbt.scored(d.limit(0), model).count() == 0
