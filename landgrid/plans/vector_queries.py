@@ -256,7 +256,7 @@ def make_valid(spark, sf):
     return topology.clean(g).select("id", F.round("area_sqm", 2).alias("area_sqm"))
 
 
-@query("orthogonalize", None)
+@query("orthogonalize", f"WITH {BOXES} SELECT id, round(greatest(maxx - minx, maxy - miny), 2) AS length_m, round(least(maxx - minx, maxy - miny), 2) AS width_m FROM boxes")
 def orthogonalize(spark, sf):
     """F3, F9, F10."""
     r = boxes(spark, sf).select("id", M.rotate(M.box_ring(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy")), (F.col("id") % 45).cast("double"), F.struct("minx", "miny").cast("struct<x:double,y:double>")).alias("ring"))
