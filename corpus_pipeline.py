@@ -38,7 +38,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("toxicity", toxicity), ("exact_dedup", exact_dedup), ("simhash_dedup", simhash_dedup), ("packing", packing)]
-ORACLE_SQL = None  # trained models and lattices are beyond SQL; tests hold each stage against a brute-force version
+ORACLE_SQL = None  # trained models and lattices are beyond SQL; tests hold language ID, exact and near dedup and packing against plain Python, and toxicity against its trees in plain loops
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
