@@ -15,6 +15,12 @@ makes at most one link a row. Components are formed from these links; then every
 in different components is verified. A group of thousands of near copies so never gives its square of pairs, and the
 components are those of all links.
 
+``near_texts`` is the same for a Jaccard similarity of word shingles, which 64 bits can't tell: 5-word shingles at 0.8
+differ in 15 % of SimHash bits, so no radius that Golay keys reach holds them. There the keys come from ``TABLES`` pairs of
+23-bit Golay words over 2-word shingles (which a changed word disturbs less), and the links from the distinct shingles
+themselves: candidates are pre-filtered by a 5-word SimHash of ``SKETCH`` x 64 bits and verified by the exact similarity.
+No clean text is linked by a sketch; the recall of the keys is measured in the README.
+
 Defined results: null and empty texts and texts of white space only have fingerprint zero and are linked like any other;
 fewer than four words are one shingle; repeated rows share a class; extra columns are ignored; an empty table gives an
 empty result.
@@ -22,11 +28,15 @@ empty result.
 
 from __future__ import annotations
 
+import math
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landgrid.functions import jvm
 from landgrid.llm._util import arrow_map, materialise, table
 from landgrid.llm.components import components
 
@@ -34,6 +44,11 @@ WORDS, SEED, BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 # Fixed value: the generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GENERATOR = 0b110001110101
+TABLES = 3  # pairs of Golay words of ``near_texts``: 28 keys each
+SHORT = 2  # words of the shingles that the keys are made of
+SKETCH = 4
+# standard deviations that a sketch of a linked pair may lie off its expected share of differing bits
+SPREAD = 3.5
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 
 
@@ -111,14 +126,17 @@ def golay_keys(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, index[rows, cols]
 
 
-def pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys) of 64-bit fingerprints: for each pair of segments all combinations of their keys."""
+def _words(fp: np.ndarray, segments) -> list:
+    """``golay_keys`` of each segment (first bit, bits)."""
     fp = fp.astype(np.int64, copy=False).view(np.uint64)
-    by = [golay_keys((fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
+    return [golay_keys((fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in segments]
+
+
+def _combined(count: int, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of ``count`` rows: for each pair of segments all combinations of their keys, marked with the pair's place."""
     rows, keys = [], []
-    for p, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-        (ri, ki), (rj, kj) = by[i], by[j]
-        start, n = np.searchsorted(rj, np.arange(len(fp))), np.bincount(rj, minlength=len(fp))
+    for p, ((ri, ki), (rj, kj)) in enumerate(pairs):
+        start, n = np.searchsorted(rj, np.arange(count)), np.bincount(rj, minlength=count)
         times = n[ri]
         at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         other = np.repeat(start[ri], times) + at
@@ -127,6 +145,17 @@ def pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def pair_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of 64-bit fingerprints, for each pair of their segments."""
+    by = _words(fp, SEGMENTS)
+    return _combined(len(fp), [(by[i], by[j]) for i, j in ((0, 1), (0, 2), (1, 2))])
+
+
+def table_keys(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of fingerprints of several 64-bit words: the two low 23-bit segments of each word are a pair."""
+    return _combined(len(words[0]), [_words(w, ((0, 23), (23, 23))) for w in words])
+
+
 def _keyed(classes: DataFrame) -> DataFrame:
     def make():
         def batch(rows: pa.RecordBatch):
@@ -141,8 +170,6 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("fp"), make, "key int, fp long")
 
 
-
-
 def fingerprint_components(classes: DataFrame, bits: int = BITS) -> DataFrame:
     """Distinct fp -> (fp, root) of every fingerprint that has a link."""
     keyed = materialise(_keyed(classes), "golay-keys")
@@ -174,5 +201,101 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def differing(similarity: float, bits: int) -> int:
+    """Most bits by which sketches of two equally long texts of that Jaccard similarity differ, ``SPREAD`` deviations above the mean.
+
+    The mean is the angle of their shingle sets over pi; sets of a few shingles are no normal case and have 1/5 at least.
+    """
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.2 if similarity < 1 else 0)
+    return min(bits, math.ceil(bits * p + SPREAD * math.sqrt(bits * p * (1 - p))))
+
+
+def _hashed(spark: SparkSession, name: str, *args):
+    kinds = {"lg_shingles": ("landgrid.llm.ShingleHash$Set", "array<bigint>"), "lg_sketch": ("landgrid.llm.ShingleHash$Sketch", "array<bigint>")}
+    jvm.register(spark, Path(__file__).parent / "java" / "ShingleHash.java", kinds)
+    return F.call_function(name, *args)
+
+
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, digest (of the text), n and id (count and hash of the distinct shingles), sketch, keys (fingerprint words of ``SHORT`` words)."""
+    call = lambda k, n: _hashed(docs.sparkSession, "lg_sketch", F.col("text"), F.lit(k), F.lit(n))
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), call(words, SKETCH).alias("s"), call(SHORT, TABLES).alias("k"))
+    part = lambda c, n: F.slice(c, 3, n)
+    return rows.select("doc_id", "digest", F.element_at("s", 1).alias("n"), F.element_at("s", 2).alias("id"), part("s", SKETCH).alias("sketch"), part("k", TABLES).alias("keys"))
+
+
+def _table_keyed(classes: DataFrame) -> DataFrame:
+    """key, id, s: a row a key, with the sketch's first word to tell most chance meetings by."""
+
+    def make():
+        def batch(rows: pa.RecordBatch):
+            ids, s = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "s"))
+            words = [rows.column(f"k{i}").to_numpy(zero_copy_only=False) for i in range(TABLES)]
+            for at in range(0, len(ids), 2048):
+                r, k = table_keys([w[at : at + 2048] for w in words])
+                yield {"key": k, "id": ids[at : at + 2048][r], "s": s[at : at + 2048][r]}
+
+        return batch
+
+    cols = [F.element_at("keys", i + 1).alias(f"k{i}") for i in range(TABLES)]
+    return arrow_map(classes.select("id", F.element_at("sketch", 1).alias("s"), *cols), make, "key int, id long, s long")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of ids -> those whose distinct shingles have that Jaccard similarity. Shingles are made of the candidates' texts only."""
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    sized = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
+    close = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (apart <= differing(similarity, 64 * SKETCH))).select("a", "b"), "close")
+    needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "digest"), "id")
+    texts = docs.select(F.col("doc_id").alias("d"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("g"), "text")
+    texts = needed.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).groupBy("id").agg(F.first("text").alias("text"))
+    sets = materialise(texts.select("id", _hashed(docs.sparkSession, "lg_shingles", F.col("text"), F.lit(words)).alias("set")), "shingles")
+    both = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    return both.where(F.col("i") >= (F.col("n") - F.col("i")) * similarity - 1e-9).select("a", "b")
+
+
+def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, digest (SHA-256 of the text), component (a long), kept: components of links by shingle similarity.
+
+    Kept is the row of the smallest doc_id of a component (null ids last, then the smallest digest); rows that are alike in
+    both are kept or not together. Texts without words are one class; shingles count once; texts with equal
+    shingle sets are one class by a 64-bit hash of the set. An empty table gives an empty result.
+    """
+    rows = materialise(sketches(docs, words), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    classes = rows.groupBy("id").agg(F.min(order).alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    classes = materialise(classes.select("id", "f.doc_id", "f.digest", "n", "sketch", "keys"), "text-classes")
+    keyed = materialise(_table_keyed(classes), "table-keys")
+    bits = differing(similarity, 64)
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
+    # a table's pivots follow one order of the ids, so that a group's keys mostly have the same few pivots
+    ranked = F.struct(F.xxhash64("id", F.shiftright("key", 24)).alias("h"), F.col("id"), F.col("s"))
+    shared = keyed.groupBy("key").agg(F.min(ranked).alias("m"), F.count("*").alias("n")).where("n > 1")
+    pivots = shared.select(F.col("key").alias("k"), F.col("m.id").alias("b"), F.col("m.s").alias("t"))
+    stars = keyed.join(pivots.hint("merge"), (F.col("key") == F.col("k")) & (F.col("id") != F.col("b")) & near("s", "t")).select(F.col("id").alias("a"), "b")
+    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    stars = materialise(_verified(materialise(stars.select(*ends("a", "b")).distinct(), "star-pairs"), classes, docs, words, similarity), "stars")
+    found = materialise(components(stars), "star-components").withColumnsRenamed({"node": "id", "component_id": "root"})
+    rooted = keyed.join(found.hint("merge"), "id", "left").select("key", "id", "s", F.coalesce("root", "id").alias("root"))
+    x, y = (rooted.toDF("key", a, f"s{a}", f"r{a}").hint("merge") for a in "ab")
+    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("sa", "sb")).select("a", "b").distinct()
+    # what a star has refused is refused again by the same exact test
+    rest = materialise(_verified(materialise(rest, "rest-pairs"), classes, docs, words, similarity), "rest")
+    found = components(stars.union(rest)).select(F.col("node").alias("id"), F.col("component_id").alias("root"))
+    whole = rows.join(materialise(found, "text-components"), "id", "left").select("doc_id", "digest", F.coalesce("root", "id").alias("component"))
+    first = whole.groupBy("component").agg(F.min(order).alias("f"))
+    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("digest") == F.col("f.digest"))
+    return whole.join(first, "component").select("doc_id", "digest", "component", same.alias("kept"))
+
+
+def kept_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` without the rows that ``near_texts`` does not keep; only the ids and digests of those are joined with the texts."""
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any column's name
+    goes = near_texts(docs, words, similarity).where("NOT kept").select(F.col("doc_id").alias(f"d{free}"), F.col("digest").alias(f"g{free}")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(f"d{free}")) & (F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col(f"g{free}"))
+    return docs.join(goes, same, "left_anti")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

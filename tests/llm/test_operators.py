@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from landgrid.llm import bin_completion, bpe_words, chat_events, cross_parsing, digest_index, golay_simhash, lattice_neardup, lattice_sampling, queries, resync_tokens, toxicity_gbt, warc_store
@@ -149,6 +150,62 @@ def test_fingerprint_components_against_brute_force(spark):
     assert len({(a, b) for a, b in zip(mine, want)}) == len(set(mine)) == len(set(want))
 
 
+def five_word_shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_texts_against_brute_force(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [None, "", " \t", "Ab", "ab", "a b c", "A  b\nc", "x " * 50_000]
+    for n in (40, 200, 900):
+        for _ in range(25):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            texts.append(" ".join(base))
+            for rate in (0.003, 0.02, 0.05):
+                texts.append(" ".join(rng.choice(vocabulary) if rng.random() < rate else w for w in base))
+    got = golay_simhash.near_texts(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, digest long")).collect()
+    assert len(got) == len(texts)
+    mine = {r.doc_id: r.component for r in got}
+    sets = [five_word_shingles(t) for t in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8]
+    want = roots(len(texts), pairs)
+    assert all(len({want[i] for i in mine if mine[i] == c}) == 1 for c in set(mine.values()))  # nothing is linked that should not be
+    assert sum(mine[a] == mine[b] for a, b in pairs) >= 0.97 * len(pairs)
+    kept = {r.doc_id for r in got if r.kept}
+    assert kept == {min(i for i in mine if mine[i] == c) for c in set(mine.values())}
+
+
+def test_near_texts_with_shared_ids_and_clashing_names(spark):
+    rows = [(None, "one two three", 1), (None, "four", 2), (3, "one two three", 3), (3, "five six", 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, d__ int")
+    assert sorted(r["d__"] for r in golay_simhash.kept_texts(d).collect()) == [2, 3, 4]
+    assert golay_simhash.kept_texts(d).columns == d.columns and golay_simhash.kept_texts(d.limit(0)).count() == 0
+
+
+def test_sketch_is_the_majority_of_its_shingles(spark):
+    text = "The quick brown fox jumps over the lazy dog and runs"
+    row = golay_simhash.sketches(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    words = text.lower().split()
+    hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(len(words) - 4)}
+    full = 2**64 - 1
+
+    def mix(z):
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & full
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & full
+        return z ^ z >> 31
+
+    assert row.n == len(hashes)
+    for k, got in enumerate(row.sketch, 1):
+        mixed = [mix(h + k * 0x9E3779B97F4A7C15 & full) for h in hashes]
+        assert got % 2**64 == sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in mixed) > len(mixed))
+
+
 def test_near_duplicate_documents(docs):
     got = {r.doc_id: r for r in golay_simhash.near_duplicates(docs).collect()}
     assert got[0].component_id == got[1].component_id == got[2].component_id == 0 and got[0].fingerprint == "0" * 16
@@ -638,13 +695,15 @@ def test_pipeline_stages_by_brute_force(spark):
 
     some = d.where("doc_id IS NOT NULL")
     ids = [(i, t) for i, t in rows if i is not None]
-    fp = [golay_simhash.fingerprint(t) for _, t in ids]
-    root = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if bin(fp[a] ^ fp[b]).count("1") <= 4])
+    sets = [five_word_shingles(t) for _, t in rows]
+    root = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.8])
     first = {}
-    for (i, _), r in zip(ids, root):
-        first[r] = min(i, first.get(r, i))
-    near = P.simhash_dedup(spark, some, SF)
-    assert near.columns == d.columns and {r.doc_id for r in near.collect()} == set(first.values())
+    for (i, t), r in zip(rows, root):
+        rank = (i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest())
+        first[r] = min(rank, first.get(r, rank))
+    near = P.simhash_dedup(spark, d, SF)
+    assert near.columns == d.columns
+    assert {(r.doc_id is None, r.doc_id or 0, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in near.collect()} == set(first.values())
 
     packed = P.packing(spark, some, SF).collect()
     from tokenizers import Tokenizer
