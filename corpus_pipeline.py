@@ -2,7 +2,8 @@
 
 Stages take (spark, docs, sf_dir); their results are written as Parquet and read again as the next one's docs. All but the
 last give the columns of documents. Language ID rejects what has no letters to tell a language by (``und``), toxicity what
-scores 0.7 or more, exact dedup all but one of equal texts, near-dedup all but the smallest doc_id of a component.
+scores 0.7 or more, exact dedup all but one of equal texts, near-dedup all but the smallest doc_id of a component of texts
+whose 5-word shingles have a Jaccard similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    stays = golay_simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    return golay_simhash.kept_texts(docs, words=5, similarity=0.8)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
