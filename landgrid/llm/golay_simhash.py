@@ -46,7 +46,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 TABLES = 3  # pairs of Golay words of ``near_texts``: 28 keys each
 SHORT = 2  # words of the shingles that the keys are made of
-SKETCH = 4
+SKETCH = 8
+FEW = 64  # sets of fewer shingles are no normal case: they may differ in more bits
 # standard deviations that a sketch of a linked pair may lie off its expected share of differing bits
 SPREAD = 3.5
 BLOCK = 1 << 16  # shingles whose bits are counted at once
@@ -201,12 +202,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> Da
     return rows.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def differing(similarity: float, bits: int) -> int:
+def differing(similarity: float, bits: int, few: bool = True) -> int:
     """Most bits by which sketches of two equally long texts of that Jaccard similarity differ, ``SPREAD`` deviations above the mean.
 
-    The mean is the angle of their shingle sets over pi; sets of a few shingles are no normal case and have 1/5 at least.
+    The mean is the angle of their shingle sets over pi; where sets may have ``few`` shingles it is 1/5 at least.
     """
-    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.2 if similarity < 1 else 0)
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.2 if few and similarity < 1 else 0)
     return min(bits, math.ceil(bits * p + SPREAD * math.sqrt(bits * p * (1 - p))))
 
 
@@ -245,8 +246,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     """(a, b) of ids -> those whose distinct shingles have that Jaccard similarity. Shingles are made of the candidates' texts only."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = F.when(F.least("na", "nb") < FEW, differing(similarity, 64 * SKETCH)).otherwise(differing(similarity, 64 * SKETCH, few=False))
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    close = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (apart <= differing(similarity, 64 * SKETCH))).select("a", "b"), "close")
+    close = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (apart <= most)).select("a", "b"), "close")
     needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "digest"), "id")
     texts = docs.select(F.col("doc_id").alias("d"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("g"), "text")
     texts = needed.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).groupBy("id").agg(F.first("text").alias("text"))
