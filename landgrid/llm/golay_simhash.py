@@ -18,7 +18,10 @@ components are those of all links.
 ``near_texts`` is the same for a Jaccard similarity of word shingles, which 64 bits can't tell: 5-word shingles at 0.8
 differ in 15 % of SimHash bits, so no radius that Golay keys reach holds them. There the keys come from ``TABLES`` pairs of
 23-bit Golay words over 2-word shingles (which a changed word disturbs less), and the links from the distinct shingles
-themselves: candidates are pre-filtered by a 5-word SimHash of ``SKETCH`` x 64 bits and verified by the exact similarity.
+themselves. A text that in no key meets another one with a near sketch (5-word SimHash) is done with. Of the others each key
+first holds all against its text of the commonest shingles; pairs of a key that are then in different components are found by
+their rarest shingles, with the prefix and position bounds of exact set similarity joins, so that a large group of texts that
+are just not alike enough gives few pairs. Sketches of ``SKETCH`` x 64 bits filter, the exact similarity of the sets decides.
 No clean text is linked by a sketch; the recall of the keys is measured in the README.
 
 Defined results: null and empty texts and texts of white space only have fingerprint zero and are linked like any other;
@@ -226,37 +229,86 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def _table_keyed(classes: DataFrame) -> DataFrame:
-    """key, id, s: a row a key, with the sketch's first word to tell most chance meetings by."""
+    """key, id, s, t: a row a key, with two words of the sketch to tell chance meetings by."""
 
     def make():
         def batch(rows: pa.RecordBatch):
-            ids, s = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "s"))
+            ids, s, t = (rows.column(c).to_numpy(zero_copy_only=False) for c in "ist")
             words = [rows.column(f"k{i}").to_numpy(zero_copy_only=False) for i in range(TABLES)]
             for at in range(0, len(ids), 2048):
-                r, k = table_keys([w[at : at + 2048] for w in words])
-                yield {"key": k, "id": ids[at : at + 2048][r], "s": s[at : at + 2048][r]}
+                part = slice(at, at + 2048)
+                r, k = table_keys([w[part] for w in words])
+                yield {"key": k, "id": ids[part][r], "s": s[part][r], "t": t[part][r]}
 
         return batch
 
     cols = [F.element_at("keys", i + 1).alias(f"k{i}") for i in range(TABLES)]
-    return arrow_map(classes.select("id", F.element_at("sketch", 1).alias("s"), *cols), make, "key int, id long, s long")
+    return arrow_map(classes.select(F.col("id").alias("i"), *(F.element_at("sketch", j + 1).alias(x) for j, x in enumerate("st")), *cols), make, "key int, id long, s long, t long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of ids -> those whose distinct shingles have that Jaccard similarity. Shingles are made of the candidates' texts only."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+def _apart(x, y):
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, v: t + v)
+
+
+def _met(classes: DataFrame, similarity: float) -> DataFrame:
+    """key, id: the keys in which a text meets another one that two words of its sketch don't tell apart. At most a row a key of a text."""
+    keyed = materialise(_table_keyed(classes), "table-keys")
+    x, y = (keyed.toDF(*(f"{c}_{side}" for c in keyed.columns)) for side in "xy")
+    bits = lambda c: F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")))
+    near = (F.col("id_x") != F.col("id_y")) & (bits("s") + bits("t") <= differing(similarity, 128))
+    return x.join(y.hint("merge"), (F.col("key_x") == F.col("key_y")) & near, "left_semi").select(F.col("key_x").alias("key"), F.col("id_x").alias("id"))
+
+
+def _ordered_sets(met: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """id, n, sketch, set, common: the distinct shingles of texts that meet others, rarest among those texts first, and their mean log count."""
+    needed = met.select("id").distinct().join(classes.select("id", "doc_id", "digest", "n", "sketch"), "id")
+    texts = docs.select(F.col("doc_id").alias("d"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("g"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))
+    texts = needed.join(texts, same).groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "text")))
+    sets = materialise(texts.select("id", "n", "sketch", _hashed(docs.sparkSession, "lg_shingles", F.col("text"), F.lit(words)).alias("set")), "shingles")
+    single = sets.select("id", F.explode("set").alias("token"))
+    counted = single.join(single.groupBy("token").agg(F.count("*").alias("c")).hint("merge"), "token")
+    ordered = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("o"), F.avg(F.log("c")).alias("common"))
+    return sets.drop("set").join(ordered, "id").select("id", "n", "sketch", F.col("o.token").alias("set"), "common")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ids -> those whose distinct shingles have that Jaccard similarity; sketches go before sets."""
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     most = F.when(F.least("na", "nb") < FEW, differing(similarity, 64 * SKETCH)).otherwise(differing(similarity, 64 * SKETCH, few=False))
     sized = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    close = materialise(pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (apart <= most)).select("a", "b"), "close")
-    needed = close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "doc_id", "digest"), "id")
-    texts = docs.select(F.col("doc_id").alias("d"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("g"), "text")
-    texts = needed.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).groupBy("id").agg(F.first("text").alias("text"))
-    sets = materialise(texts.select("id", _hashed(docs.sparkSession, "lg_shingles", F.col("text"), F.lit(words)).alias("set")), "shingles")
-    both = close.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").where(sized & (_apart("sa", "sb") <= most)).select("a", "b")
+    full = lambda x, c: sets.select(F.col("id").alias(x), F.col("set").alias(c))
+    both = close.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
     return both.where(F.col("i") >= (F.col("n") - F.col("i")) * similarity - 1e-9).select("a", "b")
 
 
+def _stars(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): each text with the one of its key whose shingles are the commonest, mostly the text that a group was copied from."""
+    ranked = met.join(sets.select("id", "common"), "id")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("common", F.col("id").alias("b"))).alias("m")).select(F.col("key").alias("k"), F.col("m.b").alias("b"))
+    stars = met.join(pivots.hint("merge"), (F.col("key") == F.col("k")) & (F.col("id") != F.col("b")))
+    return stars.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+
+
+def _rest(met: DataFrame, sets: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different components that share a key and may still have the similarity.
+
+    Texts of n shingles that have it share s x n at least, so each has one of the shared among its n - s x n + 1 rarest; at the
+    first one that they share, what follows in both must suffice for the overlap that is due. Both bounds are exact.
+    """
+    keys = met.groupBy("id").agg(F.collect_set("key").alias("keys"))  # of one text: 28 x TABLES at most
+    due = F.ceil(F.col("n") * similarity - 1e-9).cast("int")
+    head = sets.select("id", "n", F.posexplode(F.slice("set", F.lit(1), F.col("n").cast("int") - due + 1)).alias("at", "token"))
+    head = head.join(found.hint("merge"), "id", "left").select("id", "token", (F.col("n") - F.col("at")).alias("left"), "n", F.coalesce("root", "id").alias("root"))
+    head = materialise(head, "rare-shingles")
+    x, y = (head.toDF(a, "token", f"left_{a}", f"n_{a}", f"root_{a}").hint("merge") for a in "ab")
+    enough = F.least("left_a", "left_b") >= (F.col("n_a") + F.col("n_b")) * (similarity / (1 + similarity)) - 1e-9
+    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & enough).select("a", "b").distinct()
+    pairs = pairs.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
+    return pairs.where(F.arrays_overlap("ka", "kb")).select("a", "b")
+
+
 def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, digest (SHA-256 of the text), component (a long), kept: components of links by shingle similarity.
 
@@ -268,23 +320,13 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     classes = rows.groupBy("id").agg(F.min(order).alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     classes = materialise(classes.select("id", "f.doc_id", "f.digest", "n", "sketch", "keys"), "text-classes")
-    keyed = materialise(_table_keyed(classes), "table-keys")
-    bits = differing(similarity, 64)
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
-    # a table's pivots follow one order of the ids, so that a group's keys mostly have the same few pivots
-    ranked = F.struct(F.xxhash64("id", F.shiftright("key", 24)).alias("h"), F.col("id"), F.col("s"))
-    shared = keyed.groupBy("key").agg(F.min(ranked).alias("m"), F.count("*").alias("n")).where("n > 1")
-    pivots = shared.select(F.col("key").alias("k"), F.col("m.id").alias("b"), F.col("m.s").alias("t"))
-    stars = keyed.join(pivots.hint("merge"), (F.col("key") == F.col("k")) & (F.col("id") != F.col("b")) & near("s", "t")).select(F.col("id").alias("a"), "b")
-    ends = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = materialise(_verified(materialise(stars.select(*ends("a", "b")).distinct(), "star-pairs"), classes, docs, words, similarity), "stars")
+    met = materialise(_met(classes, similarity), "met")
+    sets = materialise(_ordered_sets(met, classes, docs, words), "ordered-shingles")
+    stars = materialise(_verified(_stars(met, sets), sets, similarity), "stars")
     found = materialise(components(stars), "star-components").withColumnsRenamed({"node": "id", "component_id": "root"})
-    rooted = keyed.join(found.hint("merge"), "id", "left").select("key", "id", "s", F.coalesce("root", "id").alias("root"))
-    x, y = (rooted.toDF("key", a, f"s{a}", f"r{a}").hint("merge") for a in "ab")
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near("sa", "sb")).select("a", "b").distinct()
-    # what a star has refused is refused again by the same exact test
-    rest = materialise(_verified(materialise(rest, "rest-pairs"), classes, docs, words, similarity), "rest")
-    found = components(stars.union(rest)).select(F.col("node").alias("id"), F.col("component_id").alias("root"))
+    rest = materialise(_verified(_rest(met, sets, found, similarity), sets, similarity), "rest")
+    if not rest.isEmpty():
+        found = components(stars.union(rest)).withColumnsRenamed({"node": "id", "component_id": "root"})
     whole = rows.join(materialise(found, "text-components"), "id", "left").select("doc_id", "digest", F.coalesce("root", "id").alias("component"))
     first = whole.groupBy("component").agg(F.min(order).alias("f"))
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("digest") == F.col("f.digest"))
