@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.functions import jvm
-from landgrid.llm._util import arrow_map, materialise, table
+from landgrid.llm._util import arrow_map, materialise, remove, scratch, table
 from landgrid.llm.components import components
 
 WORDS, SEED, BITS = 4, 42, 4
@@ -252,11 +252,16 @@ def _apart(x, y):
 
 def _met(classes: DataFrame, similarity: float) -> DataFrame:
     """key, id: the keys in which a text meets another one that two words of its sketch don't tell apart. At most a row a key of a text."""
-    keyed = materialise(_table_keyed(classes), "table-keys")
-    x, y = (keyed.toDF(*(f"{c}_{side}" for c in keyed.columns)) for side in "xy")
-    bits = lambda c: F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y")))
-    near = (F.col("id_x") != F.col("id_y")) & (bits("s") + bits("t") <= differing(similarity, 128))
-    return x.join(y.hint("merge"), (F.col("key_x") == F.col("key_y")) & near, "left_semi").select(F.col("key_x").alias("key"), F.col("id_x").alias("id"))
+    spark, path = classes.sparkSession, scratch(classes.sparkSession, "table-keys")
+    _table_keyed(classes).write.parquet(path)
+    keyed = spark.read.schema("key int, id long, s long, t long").parquet(path)
+    bits = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
+    near = (F.col("x.id") != F.col("y.id")) & (bits("s") + bits("t") <= differing(similarity, 128))
+    # both sides have the same columns, so the second one reuses the first one's exchange
+    met = keyed.alias("x").join(keyed.hint("merge").alias("y"), (F.col("x.key") == F.col("y.key")) & near, "left_semi")
+    met = materialise(met.select("key", "id"), "met")
+    remove(spark, path)  # the largest table that is written here; nothing reads it again
+    return met
 
 
 def _ordered_sets(met: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -320,7 +325,7 @@ def near_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
     classes = rows.groupBy("id").agg(F.min(order).alias("f"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     classes = materialise(classes.select("id", "f.doc_id", "f.digest", "n", "sketch", "keys"), "text-classes")
-    met = materialise(_met(classes, similarity), "met")
+    met = _met(classes, similarity)
     sets = materialise(_ordered_sets(met, classes, docs, words), "ordered-shingles")
     stars = materialise(_verified(_stars(met, sets), sets, similarity), "stars")
     found = materialise(components(stars), "star-components").withColumnsRenamed({"node": "id", "component_id": "root"})
