@@ -181,6 +181,25 @@ def test_near_texts_against_brute_force(spark):
     assert kept == {min(i for i in mine if mine[i] == c) for c in set(mine.values())}
 
 
+def test_near_texts_just_below_the_similarity_give_few_pairs(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for i in range(150):
+        edits = set(range(i % 40, 300, 40))  # 7 or 8 words of 300: 35 to 40 of some 296 shingles, under 0.8 to the base and less to each other
+        texts.append(" ".join(f"e{i}x{j}" if j in edits else w for j, w in enumerate(base)))
+    sets = [five_word_shingles(t) for t in texts]
+    assert not any(similarity(sets[a], sets[b]) >= 0.8 for a in range(len(texts)) for b in range(a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = golay_simhash.sketches(docs)
+    met = golay_simhash._met(classes, 0.8)
+    ordered = golay_simhash._ordered_sets(met, classes, docs, 5)
+    none = spark.createDataFrame([], "id long, root long")
+    assert ordered.count() > 100  # they do meet in keys
+    assert golay_simhash._rest(met, ordered, none, 0.8).count() <= len(texts)  # of 11,325 pairs
+    assert golay_simhash.kept_texts(docs).count() == len(texts)
+
+
 def test_near_texts_with_shared_ids_and_clashing_names(spark):
     rows = [(None, "one two three", 1), (None, "four", 2), (3, "one two three", 3), (3, "five six", 4)]
     d = spark.createDataFrame(rows, "doc_id long, text string, d__ int")
