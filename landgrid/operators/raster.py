@@ -128,6 +128,22 @@ def _line(across: str, along: str, half: int):
     return Window.partitionBy(across).orderBy(along).rangeBetween(-half, half)  # by place, so that missing pixels are no neighbours
 
 
+def padded(grid: DataFrame, values: list[str], half: int = 1) -> DataFrame:
+    """The pixels (``__real``) and, with null ``values``, the missing places of each row within ``half`` columns of one.
+
+    A pass along columns then finds the row sums of a neighbouring line also where that line has no pixel in this column:
+    at a ragged edge or a hole. A full raster grows by ``half`` places at both ends of a row only.
+    """
+    row, c = Window.partitionBy("r").orderBy("c"), F.col("c")
+    grid = grid.withColumn("__lo", F.greatest(c - half, F.lag("c").over(row) + half + 1)).withColumn("__hi", F.least(c + half, F.lead("c").over(row) - 1))
+    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.slice(F.array("c"), 1, 0))
+    places = F.concat(F.array("c"), span(F.col("__lo"), c - 1), span(c + 1, F.col("__hi")))
+    out = grid.withColumn("__at", F.explode(places)).withColumn("__real", F.col("__at") == c).withColumn("c", F.col("__at"))
+    for v in values:
+        out = out.withColumn(v, F.when(F.col("__real"), F.col(v)))
+    return out.drop("__lo", "__hi", "__at")
+
+
 def box_sum(grid: DataFrame, value: str, out: str, half: int = 1) -> DataFrame:
     """Sum over a (2 half + 1) square with zeros outside, as two passes over rows and columns of a full grid."""
     return grid.withColumn("__s", F.sum(value).over(_line("r", "c", half))).withColumn(out, F.sum("__s").over(_line("c", "r", half))).drop("__s")

@@ -325,3 +325,25 @@ def test_missing_pixels_are_no_neighbours(spark):
 
     px = spark.createDataFrame([(0, 0, 1), (0, 10, 1)], "r int, c int, v int")
     assert [r.s for r in raster.box_sum(px, "v", "s").collect()] == [1, 1]
+
+
+def _ragged_mosaic(spark, folder, sf="/root/testdata/sf0.001"):
+    """The 33 first tiles: the mosaic's last row of tiles is eight tiles wide, so pixels above its end have neighbours beside missing ones only."""
+    import os
+
+    from tests.oracle import TABLES
+
+    for t in TABLES:
+        if t != "embeddings":
+            os.symlink(f"{sf}/{t}.parquet", folder / f"{t}.parquet")
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id < 33").write.parquet(str(folder / "embeddings.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["laplacian3x3"])
+def test_stencils_at_a_ragged_edge_equal_their_sql(spark, tmp_path, name):
+    from landgrid.plans.catalog import REGISTRY
+    from tests.oracle import compare
+
+    n, why = compare(spark, _ragged_mosaic(spark, tmp_path), REGISTRY.queries[name], REGISTRY.oracle[name])
+    assert n == 33 * 64 and not why
