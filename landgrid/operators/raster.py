@@ -145,8 +145,9 @@ def padded(grid: DataFrame, values: list[str], half: int = 1) -> DataFrame:
 
 
 def box_sum(grid: DataFrame, value: str, out: str, half: int = 1) -> DataFrame:
-    """Sum over a (2 half + 1) square with zeros outside, as two passes over rows and columns of a full grid."""
-    return grid.withColumn("__s", F.sum(value).over(_line("r", "c", half))).withColumn(out, F.sum("__s").over(_line("c", "r", half))).drop("__s")
+    """Sum over a (2 half + 1) square with zeros where there is no pixel, as two passes over rows and columns."""
+    grid = padded(grid, [value], half).withColumn("__s", F.sum(value).over(_line("r", "c", half)))
+    return grid.withColumn(out, F.sum("__s").over(_line("c", "r", half))).where("__real").drop("__s", "__real")
 
 
 def erode(grid: DataFrame, value: str, half: int = 1) -> DataFrame:
