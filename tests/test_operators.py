@@ -340,7 +340,7 @@ def _ragged_mosaic(spark, folder, sf="/root/testdata/sf0.001"):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["laplacian3x3", "conv3x3_box", "building_prob", "landuse_softmax"])
+@pytest.mark.parametrize("name", ["laplacian3x3", "conv3x3_box", "building_prob", "landuse_softmax", "road_prob"])
 def test_stencils_at_a_ragged_edge_equal_their_sql(spark, tmp_path, name):
     from landgrid.plans.catalog import REGISTRY
     from tests.oracle import compare
