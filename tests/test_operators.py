@@ -383,7 +383,7 @@ def test_pairs_of_equal_boxes(spark, monkeypatch):
     assert distinct == len({r[1:] for r in rows}) and joins.meeting_copies(joins.copies(df), 5.0).count() < len(want) / 2
 
 
-@pytest.mark.parametrize("name", ["box_difference_area", "box_intersection"])
+@pytest.mark.parametrize("name", ["box_difference_area", "box_intersection", "overlay_box_areas"])
 def test_areas_of_equal_boxes_equal_their_sql(spark, tmp_path, name):
     """Each box six times: areas are taken of distinct boxes (no join by id behind the spatial one) and equal the SQL for every pair."""
     import os
