@@ -418,7 +418,7 @@ def test_planar_partition_of_copies(spark, tmp_path):
     assert all(spark.read.parquet(p).count() == 2 for p in made)
 
 
-@pytest.mark.parametrize("name", ["building_prob", "landuse_softmax"])
+@pytest.mark.parametrize("name", ["building_prob", "landuse_softmax", "road_prob"])
 def test_mosaic_of_odd_embeddings_equals_its_sql(spark, tmp_path, name):
     """Ids with a gap and below zero; embeddings that are null, too short or hold null, NaN or infinite elements."""
     import os
