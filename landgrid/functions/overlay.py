@@ -17,7 +17,7 @@ FUNCTIONS = {
     "FromText": _WKB, "ToText": T.StringType(), "Area": T.DoubleType(), "Length": T.DoubleType(), "Kind": T.StringType(),
     "IsValid": T.BooleanType(), "IsEmpty": T.BooleanType(), "MakeValid": _WKB, "LargestPart": _WKB, "Polygons": _LIST,
     "Centroid": _WKB, "Envelope": T.ArrayType(T.DoubleType()), "MinimumRectangle": _WKB, "Simplify": _WKB, "Buffer": _WKB, "Corridor": _WKB, "UnionAll": _WKB,
-    "Difference": _WKB, "Intersection": _WKB, "Intersects": T.BooleanType(), "Contains": T.BooleanType(),
+    "Difference": _WKB, "Intersection": _WKB, "BoxAreas": T.ArrayType(T.DoubleType()), "Intersects": T.BooleanType(), "Contains": T.BooleanType(),
     "VoronoiCells": _LIST, "Snap": _WKB, "PlanarFold": _LIST, "PlanarTurns": _LIST, "PointAlong": T.ArrayType(T.DoubleType()), "ToGeoJson": T.StringType(),
 }
 _SOURCE = Path(__file__).parent / "java" / "Overlay.java"

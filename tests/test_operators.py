@@ -439,3 +439,21 @@ def test_mosaic_of_odd_embeddings_equals_its_sql(spark, tmp_path, name):
     e.withColumn("vec_id", F.when(at < n // 2, at).otherwise(at + 10 * n)).write.parquet(str(tmp_path / "embeddings.parquet"))
     rows, why = compare(spark, str(tmp_path), REGISTRY.queries[name], REGISTRY.oracle[name])
     assert rows > 64 * (n // 2) and not why
+
+
+def test_box_areas_equal_the_overlay_functions(spark):
+    """Equal, nested, touching, crossing and far boxes: one call gives the areas of the two overlays, and only those asked for."""
+    from landgrid.functions import measures, overlay
+
+    overlay.install(spark)
+    rng = np.random.default_rng(11)
+    boxes = [tuple(map(float, (x, y, x + w, y + h))) for x, y, w, h in rng.integers([0, 0, 1, 1], [5, 5, 6, 6], (24, 4))]
+    rows = [(*p, *q) for p in boxes for q in boxes] + [(0.0, 0.0, 9.0, 9.0, 3.0, 3.0, 4.5, 5.0), (0.1, 0.2, 0.3, 0.7, 0.2, 0.1, 0.6, 0.4)]
+    sides = [f"{k}{s}" for k in "pq" for s in joins.SIDES]
+    df = spark.createDataFrame(rows, ", ".join(f"{s} double" for s in sides))
+    g = lambda k: overlay.call("FromText", measures.wkt("POLYGON", F.array(measures.box_ring(*[F.col(f"{k}{s}") for s in joins.SIDES]))))
+    area = lambda f, a, b: overlay.call("Area", overlay.call(f, g(a), g(b)))
+    got = df.select(overlay.call("BoxAreas", *sides, F.lit(True), F.lit(True)).alias("m"), F.array(area("Intersection", "p", "q"), area("Difference", "p", "q"), area("Difference", "q", "p")).alias("want"), overlay.call("BoxAreas", *sides, F.lit(True), F.lit(False)).alias("one")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.m == pytest.approx(r.want, abs=1e-12) and r.one[:2] == r.m[:2]
