@@ -441,7 +441,7 @@ def test_mosaic_of_odd_embeddings_equals_its_sql(spark, tmp_path, name):
     assert rows > 64 * (n // 2) and not why
 
 
-@pytest.mark.parametrize("name", ["landuse_softmax"])
+@pytest.mark.parametrize("name", ["landuse_softmax", "road_prob"])
 def test_mosaic_of_repeated_ids_equals_its_sql(spark, tmp_path, name):
     """Ids that stand once to 40 times, with different vectors, null and short ones among them, and rows without an id: one row a place."""
     import os
